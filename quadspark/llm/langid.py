@@ -19,10 +19,19 @@ from quadspark.llm.shared import utf8
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 400
 #: Bytes of a piece of text that is compressed at once.
-PIECE = 4096
-LEVEL = 3
+PIECE = 2048
+#: Levels of compression, and the bytes of text up to which the finer one is used.
+LEVEL, FINE_LEVEL, FINE_BYTES = 9, 12, 384
 UNKNOWN = "und"
 
+#: ASCII characters but letters become spaces before anything is compressed.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def folded(text: str) -> bytes:
+    """Lower-case words of letters (and of all characters beyond ASCII) with single spaces."""
+    return b" ".join(text.lower().encode().translate(_LETTERS).split())
+
 
 def training_rows(docs: DataFrame, where: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(language, piece of text) of each language's ``sample_docs`` texts of the smallest hashes.
@@ -39,24 +48,30 @@ def dictionaries(rows: list[tuple[str, str]]) -> dict[str, bytes]:
     """A raw-content dictionary for each language, about equally long ones."""
     by: dict[str, list[bytes]] = {}
     for lang, part in rows:
-        by.setdefault(lang, []).append(part.encode())
+        by.setdefault(lang, []).append(folded(part))
     most = min((sum(map(len, p)) for p in by.values()), default=0)
-    return {lang: b"\n".join(p)[: max(most, 4096)] for lang, p in sorted(by.items())}
+    return {lang: b" ".join(p)[: max(most, 4096)] for lang, p in sorted(by.items())}
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def classify(raw: bytes | None, models: list[tuple[str, object]], piece: int = PIECE) -> tuple[str, float]:
+Models = list[tuple[str, object, object]]
+
+
+def classify(raw: bytes | None, models: Models, piece: int = PIECE) -> tuple[str, float]:
     """(language, score) of a whole text."""
-    if not raw or not models or not has_letter(raw.decode("utf-8", "replace")):
+    text = (raw or b"").decode("utf-8", "replace")
+    if not models or not has_letter(text):
         return UNKNOWN, 0.0
+    own = folded(text)
+    use = 2 if len(own) <= FINE_BYTES else 1
     sums = [0] * len(models)
-    for i in range(0, len(raw), piece):
-        part = raw[i : i + piece]
-        for k, (_, model) in enumerate(models):
-            sums[k] += len(model.compress(part))
+    for i in range(0, len(own), piece):
+        part = own[i : i + piece]
+        for k, model in enumerate(models):
+            sums[k] += len(model[use].compress(part))
     best = min(range(len(sums)), key=lambda k: (sums[k], models[k][0]))
     if len(sums) == 1:
         return models[0][0], 1.0
@@ -64,18 +79,18 @@ def classify(raw: bytes | None, models: list[tuple[str, object]], piece: int = P
     return models[best][0], 1 - sums[best] / second
 
 
-def compressors(dicts: dict[str, bytes]) -> list[tuple[str, object]]:
+def compressors(dicts: dict[str, bytes]) -> Models:
     import zstandard as z
 
-    out = []
-    for lang, data in dicts.items():
+    def one(data: bytes, level: int):
         d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append((lang, z.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
-    return out
+        d.precompute_compress(level=level)
+        return z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    return [(lang, one(data, LEVEL), one(data, FINE_LEVEL)) for lang, data in dicts.items()]
 
 
-def identify(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = 0.01, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = 0.02, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with lang_pred, score (0 to 1) and rejected.
 
     ``und`` is predicted for null texts and texts without a letter, and without any dictionary;
