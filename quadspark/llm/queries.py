@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadspark.llm.jaccard import jaccard_components
 from quadspark.llm.langid import dictionaries, identify, training_rows
 from quadspark.llm.linededup import dedup_lines
 from quadspark.llm.packing import pack
@@ -30,6 +31,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, RANKS, limit=512)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with 3-word shingles that are 0.9 alike."""
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     got = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
