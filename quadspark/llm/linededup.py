@@ -11,7 +11,6 @@ texts with no line in them pass without a shuffle. What they say yes to is check
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -28,6 +27,8 @@ from quadspark.llm.shared import save, utf8
 #: Keys of a shard, about, and the bytes of all filters up to which they are sent to every task.
 SHARD_KEYS = 100_000
 BROADCAST_BYTES = 64 << 20
+#: Common keys that are sent to every task with their largest documents at most (about 100 bytes each).
+BROADCAST_KEYS = 500_000
 WHITE = b" \t\n\v\f\r"
 KEY = ["h1", "h2"]
 
@@ -160,10 +161,17 @@ class LineIndex:
             return None
         return FilterSet([(r["shard"], bytes(r["cells"])) for r in self.filters.collect()], self.buckets)
 
-    def drops(self, refs: DataFrame | None = None) -> DataFrame:
-        """(doc_id, keys): the keys whose lines a document loses. ``refs``: those of the documents
-        that are cleaned, by default those of the index."""
-        found = self.refs if refs is None else refs
+    def exact_table(self) -> dict[bytes, int] | None:
+        """The largest document of each common key, if there are few enough to be sent to every task."""
+        if self.common().count() > BROADCAST_KEYS:
+            return None
+        rows = self.common().select(*KEY, "max_doc").toPandas()
+        pair = np.ascontiguousarray(rows[KEY].to_numpy(np.int64)).astype("<i8")
+        return {k.tobytes(): int(d) for k, d in zip(pair, rows["max_doc"])}
+
+    def drops(self) -> DataFrame:
+        """(doc_id, keys): the keys whose lines each document of the index loses."""
+        found = self.refs.select(*KEY, "doc_id")
         filters = self.filter_set()
         if filters is not None:
             shared = found.sparkSession.sparkContext.broadcast(filters)
@@ -173,7 +181,7 @@ class LineIndex:
                     h1, h2 = (np.ascontiguousarray(b.column(i).to_numpy()) for i in (0, 1))
                     yield b.filter(pa.array(shared.value.contains(h1, h2)))
 
-            found = found.select(*KEY, "doc_id").mapInArrow(ask, found.select(*KEY, "doc_id").schema)
+            found = found.mapInArrow(ask, found.schema)
         hit = found.join(self.common(), KEY).where(F.col("doc_id") != F.col("max_doc"))
         return hit.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("keys"))
 
@@ -184,45 +192,83 @@ class LineIndex:
         holds it. A null or empty text is one empty line and stays as it is (null: kept_text is
         empty). Rows of a null doc_id keep all lines. Rows that share a doc_id lose the same keys.
         Columns of the input named like the new ones are dropped.
+
+        While the common keys are few (BROADCAST_KEYS), they and the filters go to every task and
+        one pass without a shuffle cleans the texts; a larger table is joined to the references
+        that the filters let through, and only texts that may lose a line are shuffled.
         """
         new = ["n_lines", "n_dropped", "kept_text"]
         cols = [c for c in docs.columns if c not in new]
-        drops = save(self.drops(), "line-drops")
-        filters, min_chars, width = self.filter_set(), self.min_chars, len(cols)
-        shared = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
+        width, min_chars, doc_at = len(cols), self.min_chars, cols.index("doc_id")
         own = docs.select(*[F.col(f"`{c}`") for c in cols], utf8("text").alias("_raw"))
         kept = T.StructType([*(docs.schema[c] for c in cols), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("_kept", T.BinaryType())])
+        filters, exact = self.filter_set(), self.exact_table()
+        sc = docs.sparkSession.sparkContext
 
-        def asked(raws: list[bytes]) -> np.ndarray:
-            found = [keys_of(r, min_chars) for r in raws]
-            pair = np.frombuffer(b"".join(k for f in found for k in f), "<i8").reshape(-1, 2)
-            yes = shared.value.contains(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
-            at = np.repeat(np.arange(len(raws)), np.fromiter(map(len, found), np.int64, len(found)))
-            return np.bincount(at[yes], minlength=len(raws)) > 0
-
-        def pass_by(batches):
-            for b in batches:
-                raws = b.column(width).to_pylist()
-                free = ~asked(raws)
-                rest = b.filter(pa.array(free))
-                n = [r.count(b"\n") + 1 for r, f in zip(raws, free) if f]
-                yield pa.RecordBatch.from_arrays([*rest.columns[:width], pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), rest.column(width)], names=kept.names)
-
-        def named(batches):
-            for b in batches:
-                yield b.filter(pa.array(asked(b.column(width).to_pylist())))
-
-        def strip(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], *stripped(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), min_chars)], names=kept.names)
-
-        hold = own if filters is None else own.mapInArrow(named, own.schema)
-        keys = drops.select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
-        held = hold.join(keys, F.col("doc_id").cast("long") == F.col("_doc"), "left").select(*own.columns, "_keys").mapInArrow(strip, kept)
-        done = held if filters is None else own.mapInArrow(pass_by, kept).unionByName(held)
+        if filters is not None and exact is not None:
+            tables = sc.broadcast((filters, exact))
+
+            def one_pass(batches):
+                ask, largest = tables.value
+                for b in batches:
+                    out: tuple[list, list, list] = ([], [], [])
+                    for doc, raw in zip(b.column(doc_at).to_pylist(), b.column(width).to_pylist()):
+                        for to, x in zip(out, without_common(doc, raw, ask, largest, min_chars)):
+                            to.append(x)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=kept.names)
+
+            done = own.mapInArrow(one_pass, kept)
+        else:
+            keys = save(self.drops(), "line-drops").select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
+            hold = own
+            if filters is not None:
+                shared = sc.broadcast(filters)
+
+                def split(asked: bool):
+                    def run(batches):
+                        for b in batches:
+                            yield b.filter(pa.array(may_lose(b.column(width).to_pylist(), shared.value, min_chars) == asked))
+
+                    return run
+
+                hold = own.mapInArrow(split(True), own.schema)
+
+            def strip(batches):
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([*b.columns[:width], *stripped(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), min_chars)], names=kept.names)
+
+            done = hold.join(keys, F.col("doc_id").cast("long") == F.col("_doc"), "left").select(*own.columns, "_keys").mapInArrow(strip, kept)
+            if filters is not None:
+                breaks = F.regexp_replace(F.col("_raw").cast("string"), "[^\n]", "")
+                free = own.mapInArrow(split(False), own.schema).select(*[F.col(f"`{c}`") for c in cols], (F.length(breaks) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("_raw").alias("_kept"))
+                done = done.unionByName(free)
         return done.select(*[F.col(f"`{c}`") for c in cols], "n_lines", "n_dropped", F.col("_kept").cast("string").alias("kept_text"))
 
 
+def may_lose(raws: list[bytes], filters: FilterSet, min_chars: int) -> np.ndarray:
+    """Whether the filters know a line of each text."""
+    found = [keys_of(r, min_chars) for r in raws]
+    pair = np.frombuffer(b"".join(k for f in found for k in f), "<i8").reshape(-1, 2)
+    yes = filters.contains(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
+    at = np.repeat(np.arange(len(raws)), np.fromiter(map(len, found), np.int64, len(found)))
+    return np.bincount(at[yes], minlength=len(raws)) > 0
+
+
+def without_common(doc: int | None, raw: bytes, filters: FilterSet, largest: dict[bytes, int], min_chars: int) -> tuple[int, int, bytes]:
+    """n_lines, n_dropped and the rest of a text."""
+    lines = raw.split(b"\n")
+    at, keys = [], []
+    for i, x in enumerate(lines):
+        if len(x) >= min_chars and counts_as_key(k := line_key(x), min_chars):
+            at.append(i)
+            keys.append(key_hash(k))
+    if not keys or doc is None:
+        return len(lines), 0, raw
+    pair = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+    gone = {at[i] for i in np.flatnonzero(filters.contains(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))) if largest.get(keys[i], doc) != doc}
+    return len(lines), len(gone), b"\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else raw
+
+
 def stripped(raws: list[bytes], keys: list[list[dict] | None], min_chars: int) -> list[pa.Array]:
     """n_lines, n_dropped and the joined rest of each text without the lines of its keys."""
     out: tuple[list, list, list] = ([], [], [])
