@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadspark.llm.ann import nearest
 from quadspark.llm.chat import digest_chat, format_chat
 from quadspark.llm.jaccard import jaccard_components
 from quadspark.llm.langid import dictionaries, identify, training_rows
@@ -21,6 +22,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the common lines that a later one holds."""
     got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=5, min_chars=40)
@@ -66,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest_neighbours": op1_nearest_neighbours,
         "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_chat_format": op4_chat_format,
