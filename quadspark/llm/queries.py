@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadspark.llm.ann import nearest
+from quadspark.llm.bpe import encode
 from quadspark.llm.chat import digest_chat, format_chat
+from quadspark.llm.html import extract
 from quadspark.llm.jaccard import jaccard_components
 from quadspark.llm.langid import dictionaries, identify, training_rows
 from quadspark.llm.linededup import dedup_lines
@@ -20,6 +22,7 @@ from quadspark.llm.tokens import count_tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +49,17 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chat(format_chat(turns))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded again."""
+    got = encode(table(spark, sf_dir, "documents"), MULTI_RANKS, decode=True)
+    return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 3-word shingles that are 0.9 alike."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
@@ -76,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_chat_format": op4_chat_format,
+        "op5_html_extraction": op5_html_extraction,
+        "op6_byte_bpe": op6_byte_bpe,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
