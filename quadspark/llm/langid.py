@@ -38,8 +38,12 @@ def training_rows(docs: DataFrame, where: Column | None = None, sample_docs: int
     What reaches the driver is bounded by the number of languages."""
     ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)
     own = docs.where(ok if where is None else ok & where)
+    # by the exact counts, hashes are cut so that about four times as many rows as needed are ranked
+    counts = own.groupBy("lang").agg(F.count("*").alias("_all")).withColumn("_share", F.lit(4.0 * sample_docs) / F.col("_all"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("doc_id", F.col("lang").alias("_lang"))
+    few = own.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(place < F.col("_share"))
+    ids = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("doc_id", F.col("lang").alias("_lang"))
     got = own.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("_part")).join(F.broadcast(ids), "doc_id").where("lang = _lang")
     return sorted((r["lang"], r["_part"]) for r in got.select("lang", "_part").distinct().collect())
 
