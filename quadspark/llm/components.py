@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by smallest labels and pointer jumping."""
+"""Connected components of a table of links, by hooking to smaller neighbours and contraction."""
 
 from __future__ import annotations
 
@@ -7,23 +7,49 @@ from pyspark.sql import functions as F
 
 from quadspark.llm.shared import save
 
+#: Times that labels are followed between two contractions: paths of 2 ** JUMPS nodes at once.
+JUMPS = 3
+
+
+def relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between the labels of their ends, each once, without those within one label."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
+    got = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b"))
+    return got.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, label): the smallest node that is reachable by ``links`` (a, b), for each node in them.
 
-    Every round each node takes the smallest label among its own, its neighbours' and that of the
-    node its label names, so a path of n nodes takes about log n rounds. Minima are taken before
-    the shuffle, so a node with very many links costs each task one row. Self-links and repeated
-    links do no harm; no links give no rows.
+    Every round each node hooks to its smallest neighbour, hooks are followed some steps, and the
+    links are contracted to those between labels, so they shrink from round to round. Minima are
+    taken before the shuffle: a node with very many links costs each task one row. Self-links,
+    repeated links and null ends do no harm; no links give no rows.
     """
-    both = save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null"), "links")
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    whole = links.select("a", "b").where("a is not null and b is not null")
+    nodes = whole.select(F.col("a").alias("node")).unionByName(whole.select(F.col("b").alias("node"))).distinct()
+    labels = save(nodes.withColumn("label", F.col("node")), "labels")
+    edges = save(whole.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
-        best = near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("was"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        new = save(best.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label"), (F.col("was") > F.coalesce("_up", "label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
+        if not edges.limit(1).count():
             return labels
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = save(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "hooks")
+        for _ in range(JUMPS):
+            up = hooks.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+            hooks = hooks.join(up, "label").select("node", F.col("_up").alias("label"))
+        hooks = save(hooks, "hooks")
+        step = hooks.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+        labels = save(labels.join(step, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+        edges = save(relabelled(edges, hooks), "edges")
     raise RuntimeError("labels did not settle")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links are added to those they are of."""
+    more = components(relabelled(links, labels))
+    up = more.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+    old = labels.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label"))
+    new = more.join(labels.select("node"), "node", "left_anti")
+    return save(old.unionByName(new.select("node", "label")), "labels")

@@ -8,11 +8,16 @@ differences are spread over the segments, so if segment i may have e_i of them a
 subset of the set that falls into them, those with e = 1 also by that subset without each one of
 its elements. How many get e = 1 is chosen by the cost of signatures and expected false candidates.
 
-Signatures are counted before they are joined: only those of two different sets survive. Each
-bucket is tried as a star around one member, links are verified exactly on the sets of 64-bit
-shingle hashes, and components are formed; only then are members that are still in different
-components compared with each other, behind an exact lower bound on their difference. So a group of
-thousands of near copies costs about one verification a member, and no link is lost.
+Two unlike sets agree where both have nothing, so empty subsets of e = 0 segments are not indexed,
+and m is larger by the number of them that a set has nearly always. A set with more is indexed with
+its empty subsets: of two linked sets either one is not such a set, and they share a subset that is
+not empty, or both are, and all segments count. No link is lost either way.
+
+Signatures are counted before they are joined, slice by slice; only those of two different sets
+survive. Each bucket is tried as a star around one member; pairs pass an exact lower bound on their
+difference, are verified on the sets of 64-bit shingle hashes, and components are formed; only then
+are members that are still in different components compared with each other. So a group of thousands
+of near copies costs about one verification a member.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.components import components
+from quadspark.llm.components import components, merged
 from quadspark.llm.shared import release, save, utf8
 
 U = np.uint64
@@ -34,6 +39,9 @@ U = np.uint64
 BROADCAST_IDS = 2_000_000
 #: Longs of the sketch whose bits bound the difference of two sets from below.
 SKETCH = 8
+#: Share of the sets in a band, and the cost of a false candidate in signatures, for the allocation.
+BAND_SHARE, FALSE_COST = 0.05, 0.1
+SKETCHED = [f"s{i}" for i in range(SKETCH)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,42 +83,52 @@ class Bands:
         return int(np.searchsorted(self.lows, size, "right")) - 1
 
     @lru_cache(maxsize=None)
-    def segments(self, group: int) -> tuple[int, int]:
-        """(m, how many of them have e = 1) for pairs of bands ``group`` and ``group`` + 1; m = 0
-        if only equal sets can be linked there."""
+    def segments(self, group: int) -> tuple[int, int, int]:
+        """(m, how many of them have e = 1, how many empty ones of the others a set may have) for
+        pairs of bands ``group`` and ``group`` + 1; m = 0 if only equal sets can be linked there."""
         while len(self.lows) <= group + 1:
             self.lows.append(self.lows[-1] * 100 // self.percent + 1)
-        high = self.lows[group + 1] - 1
+        low, high = self.lows[group], self.lows[group + 1] - 1
         differ = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
         if differ == 0:
-            return 0, 0
-        ones = np.arange((differ + 1) // 2 + 1)
-        m = differ + 1 - ones
-        mean = self.lows[group] / m
-        alike = np.exp(-2 * mean)
-        false = self.rows * ((m - ones) * alike + ones * alike * (1 + 2 * mean))
-        best = int(np.argmin(m + ones * mean + high * false))
-        return int(m[best]), best
-
-    def signatures(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of the subsets, and of the subsets without one element."""
-        subsets, without = [np.zeros(0, U)], [np.zeros(0, U)]
+            return 0, 0, 0
+        best = (np.inf, 0, 0, 0)
+        for ones in sorted({round(x) for x in np.linspace(0, (differ + 1) // 2, 33)}):
+            m = differ + 1 - ones
+            for _ in range(8):
+                empty = (m - ones) * np.exp(-low / m)
+                spare = int(np.ceil(empty + 3 * np.sqrt(empty)))
+                m = differ + 1 - ones + spare
+            mean = low / m
+            alike = np.exp(-2 * mean)
+            false = self.rows * BAND_SHARE * alike * ((m - ones) / m + ones * (1 + 2 * mean))
+            cost = m + ones * mean + FALSE_COST * false
+            if cost < best[0]:
+                best = (cost, m, ones, spare)
+        return best[1:]
+
+    def signatures(self, hashes: np.ndarray) -> np.ndarray:
+        """Signatures of the subsets, even, and of the subsets without one element, odd."""
+        out = [np.zeros(0, U)]
         if len(hashes):
             own = mix(hashes ^ U(0x6A09E667F3BCC909))
             at = self.band(len(hashes))
             for group in (at, at - 1):
-                m, ones = self.segments(group) if group >= 0 else (0, 0)
+                m, ones, spare = self.segments(group) if group >= 0 else (0, 0, 0)
                 if not m:
                     continue
                 seg = (((hashes >> U(32)) * U(m)) >> U(32)).astype(np.int64)
                 sums = np.zeros(m, U)
                 np.add.at(sums, seg, own)
                 name = mix((U(group + 1) << U(40)) + np.arange(m, dtype=U))
-                subsets.append(mix(sums ^ name))
+                empty = np.bincount(seg, minlength=m) == 0
+                empty[:ones] = False
+                keep = slice(None) if empty.sum() > spare else ~empty
+                out.append(mix(sums ^ name)[keep] & ~U(1))
                 if ones:
                     some = seg < ones
-                    without.append(mix((sums[seg[some]] - own[some]) ^ name[seg[some]]))
-        return np.concatenate(subsets), np.concatenate(without)
+                    out.append(mix((sums[seg[some]] - own[some]) ^ name[seg[some]]) | U(1))
+        return np.concatenate(out)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -120,120 +138,140 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def signed_sets(docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sigs): sigs are pairs (signature, v), v the set's id, or -1 less
-    the id where an element was left out. set_id is null for texts without words."""
-    out = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("subsets", T.ArrayType(T.LongType(), False)), T.StructField("without", T.ArrayType(T.LongType(), False))])
+def signed_sets(docs: DataFrame, width: int, percent: int, rows: int, slices: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, the sketch, and the signatures in ``slices`` columns). set_id is
+    null for texts without words."""
+    longs = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_id", *SKETCHED)]
+    out = T.StructType([docs.schema["doc_id"], *longs, *(T.StructField(f"sigs{k}", T.ArrayType(T.LongType(), False)) for k in range(slices))])
 
     def run(batches):
         bands = Bands(percent, rows)
         for b in batches:
-            n, ids, lists = [], [], ([], [])
+            n, ids, sketches, lists = [], [], [], [[] for _ in range(slices)]
             for raw in b.column(1).to_pylist():
                 h = shingles(raw, width)
                 n.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
-                for to, sigs in zip(lists, bands.signatures(h)):
-                    to.append(sigs.view(np.int64))
+                sketches.append(sketch(h))
+                sigs = bands.signatures(h)
+                part = (sigs >> U(1)) % U(slices)
+                for k in range(slices):
+                    lists[k].append(sigs[part == k].view(np.int64))
+            bits = np.array(sketches, np.int64).reshape(-1, SKETCH)
             arrays = []
             for x in lists:
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in x]))).astype(np.int32)
                 flat = np.concatenate(x) if x else np.zeros(0, np.int64)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *arrays], names=out.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)), *arrays], names=out.names)
 
     return docs.select("doc_id", utf8("text").alias("_raw")).mapInArrow(run, out)
 
 
 def hashed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(set_id, n, hashes, sketch) of each text."""
-    out = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType(), False)), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
+    """(set_id, hashes) of each text."""
+    out = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType(), False))])
 
     def run(batches):
         for b in batches:
             sets = [shingles(raw, width) for raw in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([set_id(h) for h in sets], pa.int64()),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())),
-                    pa.array([sketch(h) for h in sets], pa.list_(pa.int64())),
-                ],
-                names=out.names,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=out.names)
 
     return docs.select(utf8("text").alias("_raw")).mapInArrow(run, out)
 
 
+def lightly(classes: DataFrame, side: str) -> DataFrame:
+    """A set's size and sketch under names of one side of a pair."""
+    return classes.select(F.col("set_id").alias(side), F.col("n").alias(f"_n{side}"), *[F.col(c).alias(f"_{c}{side}") for c in SKETCHED])
+
+
+def may_link(percent: int):
+    """What is true of all linked pairs: sizes near enough, and few enough differing parities."""
+    differ = sum((F.bit_count(F.col(f"_{c}a").bitwiseXOR(F.col(f"_{c}b"))).cast("int") for c in SKETCHED), F.lit(0))
+    near = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent
+    return near & (differ * (100 + percent) <= (F.col("_na") + F.col("_nb")) * (100 - percent))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (a, b) of set ids, by their exact similarity."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("_na"), F.col("hashes").alias("_ha"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("_nb"), F.col("hashes").alias("_hb"))
-    common = F.size(F.array_intersect("_ha", "_hb"))
-    near = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent
-    both = pairs.join(left, "a").join(right, "b").where(near).withColumn("_common", common)
-    return both.where(F.col("_common") * 100 >= (F.col("_na") + F.col("_nb") - F.col("_common")) * percent).select("a", "b")
+    left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("_ha"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("_hb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("_common", F.size(F.array_intersect("_ha", "_hb")))
+    union = F.size("_ha") + F.size("_hb") - F.col("_common")
+    return both.where(F.col("_common") * 100 >= union * percent).select("a", "b")
 
 
-def still_apart(members: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def still_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one bucket in different components that may be linked and weren't tried."""
     at = members.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("sig")
-    light = sets.select("set_id", "n", "sketch")
-    open_ = save(at.join(mixed, "sig").join(light, "set_id").select("sig", "whole", "set_id", "label", "n", "sketch"), "open")
-    a = open_.select("sig", F.col("whole").alias("_wa"), F.col("set_id").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"), F.col("sketch").alias("_sa"))
-    b = open_.select("sig", F.col("whole").alias("_wb"), F.col("set_id").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"), F.col("sketch").alias("_sb"))
-    differ = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(SKETCH)), F.lit(0))
-    may = (
-        (F.col("a") > F.col("b"))
-        & (F.col("_la") != F.col("_lb"))
-        & (F.col("_wa") | F.col("_wb"))
-        & (F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
-        & (differ * (100 + percent) <= (F.col("_na") + F.col("_nb")) * (100 - percent))
-    )
-    found = a.join(b, (a["sig"] == b["sig"]) & may).select("a", "b").distinct()
+    open_ = save(at.join(mixed, "sig").join(classes.drop("first_doc"), "set_id"), "open")
+
+    def side(x: str) -> DataFrame:
+        return open_.select(F.col("sig").alias(f"_sig{x}"), F.col("whole").alias(f"_w{x}"), F.col("label").alias(f"_l{x}"), F.col("set_id").alias(x), F.col("n").alias(f"_n{x}"), *[F.col(c).alias(f"_{c}{x}") for c in SKETCHED])
+
+    apart = (F.col("_siga") == F.col("_sigb")) & (F.col("a") > F.col("b")) & (F.col("_la") != F.col("_lb")) & (F.col("_wa") | F.col("_wb"))
+    found = side("a").join(side("b"), apart & may_link(percent)).select("a", "b").distinct()
     return found.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The hashes of all sets in these pairs, from one document of each."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    ids = save(classes.join(wanted, "set_id").select(F.col("first_doc").alias("doc_id")), "wanted")
+    small = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    return save(hashed_sets(texts, width).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slices: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each input row.
 
     ``component_id`` is the smallest doc_id reachable by links, texts whose sets of ``width``-word
     shingles have a Jaccard similarity of ``percent``/100 or more. Texts with fewer words are one
     shingle; texts without words (null, empty, blank) have none, are linked with nothing and are
-    components of their own. Rows of a null doc_id take part; a component of such rows alone has a
-    null id. An empty table gives no rows; other columns are not read.
+    components of their own. doc_id is a number that names a row; rows of a null doc_id are in
+    components of their own with a null id. An empty table gives no rows; other columns are not read.
+    ``slices``: in how many parts the signatures are counted and joined, which bounds the disk.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    signed = save(signed_sets(docs, width, percent, docs.count()), "signed")
-    every = signed.where("set_id is not null")
-    v = F.col("set_id")
-    sigs = every.select(F.explode("subsets").alias("sig"), v.alias("v")).unionByName(every.select(F.explode("without").alias("sig"), (F.lit(-1) - v).alias("v")))
-    shared = sigs.groupBy("sig").agg(F.max("v").alias("rep"), F.min("v").alias("_lo")).where("rep >= 0 and rep <> _lo").select("sig", "rep")
-    shared = save(shared, "shared-signatures")
-    release(spark)
-    whole = F.col("v") >= 0
-    members = save(sigs.join(shared, "sig").select("sig", whole.alias("whole"), F.when(whole, F.col("v")).otherwise(F.lit(-1) - F.col("v")).alias("set_id"), "rep").distinct(), "members")
-    release(spark)
-    pairs = save(members.where("set_id <> rep").select(F.col("set_id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-
-    classes = every.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
-    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    ids = save(classes.join(wanted, "set_id").select(F.col("first_doc").alias("doc_id")), "wanted")
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = save(hashed_sets(texts, width).dropDuplicates(["set_id"]), "sets")
-
-    links = save(verified(pairs, sets, percent), "links")
+    signed = save(signed_sets(docs, width, percent, docs.count(), slices), "signed")
+    every = signed.where("set_id is not null and doc_id is not null")
+    sketches = [F.max(c).alias(c) for c in SKETCHED]
+    classes = save(every.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n"), *sketches), "classes")
+    parts = []
+    for k in range(slices):
+        one = every.select(F.explode(f"sigs{k}").alias("_x"), "set_id")
+        whole, sig = F.col("_x").bitwiseAND(F.lit(1)) == 0, F.shiftright("_x", 1)
+        # the largest value names the bucket's hub, another set in each bucket
+        name = F.col("set_id").bitwiseXOR(sig.bitwiseAND(F.lit((1 << 62) - 1)))
+        sigs = one.select(sig.alias("sig"), F.when(whole, name).otherwise(F.lit(-1) - name).alias("v"))
+        shared = sigs.groupBy("sig").agg(F.max("v").alias("rep"), F.min("v").alias("_lo")).where("rep >= 0 and rep <> _lo").select("sig", "rep")
+        shared = save(shared, "shared-signatures")
+        release(spark)
+        whole, mask = F.col("v") >= 0, F.col("sig").bitwiseAND(F.lit((1 << 62) - 1))
+        name = F.when(whole, F.col("v")).otherwise(F.lit(-1) - F.col("v")).bitwiseXOR(mask)
+        got = sigs.join(shared, "sig").select("sig", whole.alias("whole"), name.alias("set_id"), F.col("rep").bitwiseXOR(mask).alias("rep")).distinct()
+        parts.append(save(got, "members"))
+        release(spark)
+    members = parts[0]
+    for p in parts[1:]:
+        members = members.unionByName(p)
+    tried = members.where("set_id <> rep").select(F.col("set_id").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = tried.join(lightly(classes, "a"), "a").join(lightly(classes, "b"), "b").where(may_link(percent)).select("a", "b")
+    tried = save(likely, "pairs")
+    links = save(verified(tried, sets_of(tried, classes, docs, width), percent), "links")
     labels = components(links)
     release(spark)
-    more = save(verified(still_apart(members, labels, sets, pairs, percent), sets, percent), "links")
+    more = save(still_apart(members, labels, classes, tried, percent), "pairs")
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    named = classes.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        more = save(verified(more, sets_of(more, classes, docs, width), percent), "links")
+        labels = merged(labels, more)
+        release(spark)
+    named = classes.select("set_id", "first_doc").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of_set = save(named.join(smallest, "label").select("set_id", "component_id"), "components")
     release(spark)
-    got = signed.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    got = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
     return got.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
