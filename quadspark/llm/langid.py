@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import utf8
+from quadspark.llm.shared import carried, restored, sliced
 
 #: Bounds of the sample: texts of a language, and characters from each.
 SAMPLE_DOCS = 256
@@ -101,15 +101,14 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = 0.02,
     those, and scores under ``min_margin``, are rejected. One pass, no shuffle. Columns of the input
     that are named like the new ones are dropped.
     """
-    new = ["lang_pred", "score"]
-    keep = [c for c in docs.columns if c not in (*new, "rejected")] if keep is None else keep
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")] if keep is None else keep
+    own, fields = carried(docs, keep, text_col)
+    out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         models = compressors(dicts)
-        for b in batches:
+        for b in sliced(batches):
             got = [classify(raw, models) for raw in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=out.names)
 
-    got = docs.select(*[F.col(f"`{c}`") for c in keep], utf8(text_col).alias("_raw")).mapInArrow(run, out)
-    return got.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin))
+    return restored(own.mapInArrow(run, out), keep).withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin))

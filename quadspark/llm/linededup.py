@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadspark.llm.cuckoo import LOAD, SLOTS, Cuckoo, Full, buckets_for
-from quadspark.llm.shared import save, utf8
+from quadspark.llm.shared import carried, restored, save, sliced, utf8
 
 #: Keys of a shard, about, and the bytes of all filters up to which they are sent to every task.
 SHARD_KEYS = 100_000
@@ -57,7 +57,7 @@ def line_refs(docs: DataFrame, min_chars: int) -> DataFrame:
     out = T.StructType([T.StructField(c, T.LongType()) for c in (*KEY, "doc_id")])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             raws = b.column(1).to_pylist()
             found = [keys_of(r, min_chars) for r in raws]
             n = np.fromiter(map(len, found), np.int64, len(found))
@@ -200,8 +200,9 @@ class LineIndex:
         new = ["n_lines", "n_dropped", "kept_text"]
         cols = [c for c in docs.columns if c not in new]
         width, min_chars, doc_at = len(cols), self.min_chars, cols.index("doc_id")
-        own = docs.select(*[F.col(f"`{c}`") for c in cols], utf8("text").alias("_raw"))
-        kept = T.StructType([*(docs.schema[c] for c in cols), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("_kept", T.BinaryType())])
+        own, fields = carried(docs, cols, "text")
+        held = [f.name for f in fields]
+        kept = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("_kept", T.BinaryType())])
         filters, exact = self.filter_set(), self.exact_table()
         sc = docs.sparkSession.sparkContext
 
@@ -210,7 +211,7 @@ class LineIndex:
 
             def one_pass(batches):
                 ask, largest = tables.value
-                for b in batches:
+                for b in sliced(batches):
                     out: tuple[list, list, list] = ([], [], [])
                     for doc, raw in zip(b.column(doc_at).to_pylist(), b.column(width).to_pylist()):
                         for to, x in zip(out, without_common(doc, raw, ask, largest, min_chars)):
@@ -226,7 +227,7 @@ class LineIndex:
 
                 def split(asked: bool):
                     def run(batches):
-                        for b in batches:
+                        for b in sliced(batches):
                             yield b.filter(pa.array(may_lose(b.column(width).to_pylist(), shared.value, min_chars) == asked))
 
                     return run
@@ -234,15 +235,15 @@ class LineIndex:
                 hold = own.mapInArrow(split(True), own.schema)
 
             def strip(batches):
-                for b in batches:
+                for b in sliced(batches):
                     yield pa.RecordBatch.from_arrays([*b.columns[:width], *stripped(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), min_chars)], names=kept.names)
 
-            done = hold.join(keys, F.col("doc_id").cast("long") == F.col("_doc"), "left").select(*own.columns, "_keys").mapInArrow(strip, kept)
+            done = hold.join(keys, F.col(held[doc_at]).cast("long") == F.col("_doc"), "left").select(*own.columns, "_keys").mapInArrow(strip, kept)
             if filters is not None:
                 breaks = F.regexp_replace(F.col("_raw").cast("string"), "[^\n]", "")
-                free = own.mapInArrow(split(False), own.schema).select(*[F.col(f"`{c}`") for c in cols], (F.length(breaks) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("_raw").alias("_kept"))
+                free = own.mapInArrow(split(False), own.schema).select(*held, (F.length(breaks) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("_raw").alias("_kept"))
                 done = done.unionByName(free)
-        return done.select(*[F.col(f"`{c}`") for c in cols], "n_lines", "n_dropped", F.col("_kept").cast("string").alias("kept_text"))
+        return restored(done.select(*held, "n_lines", "n_dropped", F.col("_kept").cast("string").alias("kept_text")), cols)
 
 
 def may_lose(raws: list[bytes], filters: FilterSet, min_chars: int) -> np.ndarray:

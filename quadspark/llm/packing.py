@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quadspark.llm.shared import save, utf8
+from quadspark.llm.shared import save, sliced, utf8
 from quadspark.llm.tokens import Engine, encode_spliced
 
 #: A plan of at most so many runs (48 bytes each) is broadcast; a longer one is joined by a shuffle.
@@ -120,7 +120,7 @@ def tokenize_pieces(
 
     def run(batches):
         engine = Engine.get(tokenizer, ranks)
-        for b in batches:
+        for b in sliced(batches):
             at: list[int] = []
             rows: list[tuple] = []
             for i, raw in enumerate(b.column(1).to_pylist()):

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import utf8
+from quadspark.llm.shared import carried, restored, sliced
 
 #: Labelled rows that the rules are learned from at most.
 MAX_LABELLED = 20_000
 WINDOW = 8
 #: Bytes of text whose statistics are taken together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def _bytes_in(chars: bytes) -> np.ndarray:
@@ -130,15 +130,16 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     keep = [c for c in docs.columns if c not in STATS] if keep is None else keep
     if clash := set(keep) & set(STATS):
         raise ValueError(f"columns named like statistics: {sorted(clash)}")
-    out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in STATS)])
+    own, fields = carried(docs, keep, text_col)
+    out = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in STATS)])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1024):
             parts = [text_stats(r) for r in blocks(b.column(len(keep)).to_pylist())]
             cols = [np.concatenate(p) for p in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(STATS)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in cols)], names=out.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], utf8(text_col).alias("_raw")).mapInArrow(run, out)
+    return restored(own.mapInArrow(run, out), keep)
 
 
 def base_failed() -> Column:

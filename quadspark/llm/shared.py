@@ -9,9 +9,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +34,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that save() wrote and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,6 +62,22 @@ def utf8(col: str | Column) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("binary"), F.lit(b""))
 
 
-def rows_of(df: DataFrame, **columns: Column | str) -> DataFrame:
-    """A projection to fresh names, so that other columns of the input never clash."""
-    return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, which bounds what a Python worker holds at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def carried(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, list[T.StructField]]:
+    """``keep`` columns under names of their own, and the text's bytes as _raw behind them; the
+    fields of the kept columns."""
+    names = [f"_c{i}" for i in range(len(keep))]
+    own = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], utf8(f"`{text_col}`").alias("_raw"))
+    return own, [T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, names)]
+
+
+def restored(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns under their names again, and the others behind them."""
+    new = [c for c in df.columns if c not in {f"_c{i}" for i in range(len(keep))}]
+    return df.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], *new)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import utf8
+from quadspark.llm.shared import sliced, utf8
 
 #: White space that every library's pattern takes as such.
 PLAIN_SPACE = " \n\t\r"
@@ -171,7 +171,7 @@ def count_tokens(
 
     def run(batches):
         engine = Engine.get(tokenizer, ranks)
-        for b in batches:
+        for b in sliced(batches):
             rows: list[tuple[int, int, int, int]] = []
             for raw in b.column(1).to_pylist():
                 parts, widened = encode_spliced(engine, raw.decode("utf-8", "replace"), chunk, overlap)
