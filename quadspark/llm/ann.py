@@ -42,9 +42,8 @@ def halve(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarra
         cut = (n // 2) / n
         for _ in range(6):
             side = v @ (b - a)
-            left = side <= np.quantile(side, cut)
-            if left.all() or not left.any():
-                left = np.arange(len(own)) < int(len(own) * cut)
+            left = np.zeros(len(own), bool)
+            left[np.argsort(side, kind="stable")[: int(len(own) * cut)]] = True
             a, b = v[left].mean(0), v[~left].mean(0)
         todo += [(own[left], n // 2), (own[~left], n - n // 2)]
     return done

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import utf8
+from quadspark.llm.shared import carried, restored, sliced, utf8
 
 #: Labelled pages that the weights are counted on, at most, and their largest size in characters.
 MAX_LABELLED, MAX_LABELLED_CHARS = 4000, 200_000
@@ -131,7 +131,7 @@ def items_of(page: str) -> list[Item]:
             out.append(Item(("t", "br", "" if not main else "in" if mains else "out"), 0, " ", block, bad > 0))
             continue
         place = "" if not main else "in" if mains else "out"
-        out.append(Item(("t", name, place)))
+        out.append(Item(("t", name, place), block=block, boilerplate=bad > 0))
         if closing:
             deep = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
             if deep is not None:
@@ -151,11 +151,26 @@ def items_of(page: str) -> list[Item]:
             mains += name == main
 
 
+def settle_links(items: list[Item]) -> list[Item]:
+    """Links within running text are text: in blocks that are not mostly links, their words and tags
+    take the kind of the rest."""
+    words, linked = Counter(), Counter()
+    for x in items:
+        words[x.block] += x.words
+        linked[x.block] += x.words * (x.kind[1] == "a" and x.kind[0] == "w")
+    for x in items:
+        if x.kind[1] == "a" and not x.boilerplate and 2 * linked[x.block] < words[x.block]:
+            x.kind = (x.kind[0], "inline", x.kind[2])
+    return items
+
+
 Weights = dict[tuple[str, str, str], float]
 
 #: What words and tags are worth of which nothing is known, in words.
 DEFAULT = {"w": 1.0, "t": -0.3}
-FIXED: Weights = {("w", "boilerplate", ""): -3.0, ("w", "boilerplate", "in"): -1.0, ("w", "boilerplate", "out"): -3.0, ("w", "a", ""): -1.0}
+FIXED: Weights = {("w", "a", ""): -1.0}
+#: A run of boilerplate is a gap: its text is dropped anyway, however long. None within main elements.
+GAP = -6.0
 
 
 def weigh(counts: dict[tuple[str, str, str], tuple[int, int]]) -> Weights:
@@ -184,6 +199,12 @@ def worth(kind: tuple[str, str, str], weights: Weights) -> float:
     return DEFAULT[kind[0]]
 
 
+def score(x: Item, weights: Weights) -> float:
+    if x.boilerplate:
+        return GAP if x.words and x.kind[2] != "in" else 0.0
+    return worth(x.kind, weights) * (x.words if x.kind[0] == "w" else 1)
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """(start, end) of the contiguous part with the largest positive sum, the first and shortest of
     such; (0, 0) if there is none."""
@@ -200,12 +221,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     """The text of a page's best region, a line for each block."""
-    items = items_of(page)
-    start, end = best_region([worth(x.kind, weights) * (x.words if x.kind[0] == "w" else 1) for x in items])
-    blocks: dict[int, list[str]] = {}
-    for x in items[start:end]:
-        if x.text and not x.boilerplate:
-            blocks.setdefault(x.block, []).append(x.text)
+    items = settle_links(items_of(page))
+    start, end = best_region([score(x, weights) for x in items])
+    blocks: dict[int, list[str]] = {x.block: [] for x in items[start:end] if x.words and not x.boilerplate}
+    for x in items:  # whole blocks, also where the region begins or ends within one
+        if x.text and not x.boilerplate and x.block in blocks:
+            blocks[x.block].append(x.text)
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
 
@@ -213,16 +234,19 @@ def main_text(page: str, weights: Weights) -> str:
 def label_counts(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = MAX_LABELLED) -> dict[tuple[str, str, str], tuple[int, int]]:
     """(inside, outside) counts of words and tags by kind, on at most ``most`` labelled pages, those
     of the smallest hashes: pages of at most MAX_LABELLED_CHARS with one article or main element."""
-    labelled = pages.where(F.col(id_col).isNotNull() & (F.length(html_col) <= MAX_LABELLED_CHARS) & F.lower(html_col).rlike("<(article|main)[ >]"))
-    ids = labelled.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
-    own = labelled.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left_semi").select(utf8(html_col).alias("_raw"))
+    pages = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"))
+    labelled = pages.where(F.col("_id").isNotNull() & (F.length("_html") <= MAX_LABELLED_CHARS) & F.lower("_html").rlike("<(article|main)[ >]"))
+    ids = labelled.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
+    own = labelled.join(F.broadcast(ids), "_id", "left_semi").select(utf8("_html").alias("_raw"))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             inside, outside = Counter(), Counter()
             for raw in b.column(0).to_pylist():
-                for x in items_of(raw.decode("utf-8", "replace")):
-                    to = inside if x.kind[2] == "in" and not x.boilerplate else outside
+                for x in settle_links(items_of(raw.decode("utf-8", "replace"))):
+                    if x.boilerplate:
+                        continue
+                    to = inside if x.kind[2] == "in" else outside
                     to[x.kind] += x.words if x.kind[0] == "w" else 1
             kinds = sorted(inside.keys() | outside.keys())
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in kinds], pa.string()) for i in range(3)), pa.array([inside[k] for k in kinds], pa.int64()), pa.array([outside[k] for k in kinds], pa.int64())], names=["kind", "name", "place", "inside", "outside"])
@@ -241,12 +265,12 @@ def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "pag
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")] if keep is None else keep
     weights = weigh(label_counts(pages, html_col, id_col)) if weights is None else weights
-    out = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType())])
+    own, fields = carried(pages, keep, html_col)
+    out = T.StructType([*fields, T.StructField("text", T.StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [main_text(raw.decode("utf-8", "replace"), weights) for raw in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=out.names)
 
-    got = pages.select(*[F.col(f"`{c}`") for c in keep], utf8(html_col).alias("_raw")).mapInArrow(run, out)
-    return got.withColumn("n_chars", F.length("text").cast("long"))
+    return restored(own.mapInArrow(run, out), keep).withColumn("n_chars", F.length("text").cast("long"))
