@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.shared import save
+from quadspark.llm.shared import drop, save
 
 #: Times that labels are followed between two contractions: paths of 2 ** JUMPS nodes at once.
 JUMPS = 3
@@ -33,16 +33,18 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     edges = save(whole.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most_rounds):
         if not edges.limit(1).count():
+            drop(edges)
             return labels
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = save(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "hooks")
+        first = hooks = save(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "hooks")
         for _ in range(JUMPS):
             up = hooks.select(F.col("node").alias("label"), F.col("label").alias("_up"))
             hooks = hooks.join(up, "label").select("node", F.col("_up").alias("label"))
         hooks = save(hooks, "hooks")
         step = hooks.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-        labels = save(labels.join(step, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
-        edges = save(relabelled(edges, hooks), "edges")
+        old, labels = labels, save(labels.join(step, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+        was, edges = edges, save(relabelled(edges, hooks), "edges")
+        drop(first, hooks, old, was)
     raise RuntimeError("labels did not settle")
 
 
@@ -52,4 +54,6 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     up = more.select(F.col("node").alias("label"), F.col("label").alias("_up"))
     old = labels.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label"))
     new = more.join(labels.select("node"), "node", "left_anti")
-    return save(old.unionByName(new.select("node", "label")), "labels")
+    out = save(old.unionByName(new.select("node", "label")), "labels")
+    drop(more, labels)
+    return out

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadspark.llm.components import components, merged
-from quadspark.llm.shared import release, save, utf8
+from quadspark.llm.shared import drop, release, save, sliced, utf8
 
 U = np.uint64
 #: Ids of documents that are broadcast at most, to fetch the texts of candidates.
@@ -146,7 +146,7 @@ def signed_sets(docs: DataFrame, width: int, percent: int, rows: int, slices: in
 
     def run(batches):
         bands = Bands(percent, rows)
-        for b in batches:
+        for b in sliced(batches):
             n, ids, sketches, lists = [], [], [], [[] for _ in range(slices)]
             for raw in b.column(1).to_pylist():
                 h = shingles(raw, width)
@@ -173,7 +173,7 @@ def hashed_sets(docs: DataFrame, width: int) -> DataFrame:
     out = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType(), False))])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingles(raw, width) for raw in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=out.names)
 
@@ -205,10 +205,10 @@ def still_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, tried
     """Pairs of members of one bucket in different components that may be linked and weren't tried."""
     at = members.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("sig")
-    open_ = save(at.join(mixed, "sig").join(classes.drop("first_doc"), "set_id"), "open")
+    both = save(at.join(mixed, "sig").join(classes.drop("first_doc"), "set_id"), "open")
 
     def side(x: str) -> DataFrame:
-        return open_.select(F.col("sig").alias(f"_sig{x}"), F.col("whole").alias(f"_w{x}"), F.col("label").alias(f"_l{x}"), F.col("set_id").alias(x), F.col("n").alias(f"_n{x}"), *[F.col(c).alias(f"_{c}{x}") for c in SKETCHED])
+        return both.select(F.col("sig").alias(f"_sig{x}"), F.col("whole").alias(f"_w{x}"), F.col("label").alias(f"_l{x}"), F.col("set_id").alias(x), F.col("n").alias(f"_n{x}"), *[F.col(c).alias(f"_{c}{x}") for c in SKETCHED])
 
     apart = (F.col("_siga") == F.col("_sigb")) & (F.col("a") > F.col("b")) & (F.col("_la") != F.col("_lb")) & (F.col("_wa") | F.col("_wb"))
     found = side("a").join(side("b"), apart & may_link(percent)).select("a", "b").distinct()
@@ -221,7 +221,9 @@ def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -
     ids = save(classes.join(wanted, "set_id").select(F.col("first_doc").alias("doc_id")), "wanted")
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    return save(hashed_sets(texts, width).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    out = save(hashed_sets(texts, width).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    drop(ids)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slices: int = 4) -> DataFrame:
@@ -254,24 +256,33 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slice
         name = F.when(whole, F.col("v")).otherwise(F.lit(-1) - F.col("v")).bitwiseXOR(mask)
         got = sigs.join(shared, "sig").select("sig", whole.alias("whole"), name.alias("set_id"), F.col("rep").bitwiseXOR(mask).alias("rep")).distinct()
         parts.append(save(got, "members"))
+        drop(shared)
         release(spark)
+    # the signatures have done their work: only what names the rows is kept
+    ids = save(signed.select("doc_id", "n_shingles", "set_id"), "ids")
+    drop(signed)
     members = parts[0]
     for p in parts[1:]:
         members = members.unionByName(p)
     tried = members.where("set_id <> rep").select(F.col("set_id").alias("a"), F.col("rep").alias("b")).distinct()
     likely = tried.join(lightly(classes, "a"), "a").join(lightly(classes, "b"), "b").where(may_link(percent)).select("a", "b")
     tried = save(likely, "pairs")
-    links = save(verified(tried, sets_of(tried, classes, docs, width), percent), "links")
+    sets = sets_of(tried, classes, docs, width)
+    links = save(verified(tried, sets, percent), "links")
     labels = components(links)
+    drop(sets, links)
     release(spark)
     more = save(still_apart(members, labels, classes, tried, percent), "pairs")
     if more.limit(1).count():
-        more = save(verified(more, sets_of(more, classes, docs, width), percent), "links")
-        labels = merged(labels, more)
+        sets = sets_of(more, classes, docs, width)
+        links = save(verified(more, sets, percent), "links")
+        labels = merged(labels, links)
+        drop(sets, links)
         release(spark)
     named = classes.select("set_id", "first_doc").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of_set = save(named.join(smallest, "label").select("set_id", "component_id"), "components")
+    drop(*parts, classes, tried, more, labels)
     release(spark)
-    got = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
+    got = ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
     return got.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
