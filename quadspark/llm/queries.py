@@ -17,7 +17,7 @@ from quadspark.llm.langid import dictionaries, identify, training_rows
 from quadspark.llm.linededup import dedup_lines
 from quadspark.llm.packing import pack
 from quadspark.llm.quality import judge
-from quadspark.llm.shared import table
+from quadspark.llm.shared import reachable, table
 from quadspark.llm.tokens import count_tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -85,7 +85,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         "op1_nearest_neighbours": op1_nearest_neighbours,
         "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
@@ -97,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
     }
+    return {name: reachable(query) for name, query in own.items()}
 
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

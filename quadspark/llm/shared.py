@@ -7,9 +7,12 @@ named in ``spark.checkpoint.dir``; a lost executor then costs a re-read, not a r
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import wraps
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def reachable(query):
+    """The query, for sessions whose Python workers may not find this package: those of a local
+    session look where the driver found it. A cluster has the package installed or shipped."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args):
+        sc, root = spark.sparkContext, str(Path(__file__).resolve().parents[2])
+        known = sc.environment.get("PYTHONPATH", "")
+        if sc.master.startswith("local") and root not in known.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+        return query(spark, *args)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
