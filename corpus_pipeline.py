@@ -19,7 +19,7 @@ from quadspark.llm.langid import dictionaries, identify, training_rows
 from quadspark.llm.linededup import dedup_lines
 from quadspark.llm.packing import pack
 from quadspark.llm.quality import judge
-from quadspark.llm.shared import save, table
+from quadspark.llm.shared import reachable, save, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -92,6 +92,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@reachable
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: the last one's rows."""
     docs = table(spark, sf_dir, "documents")
