@@ -21,7 +21,8 @@ def is_variable(x: str | None) -> bool:
 
 
 def solutions(quads: DataFrame, pattern: Pattern) -> DataFrame:
-    """The bindings of one pattern, each once; a variable in two positions binds equal terms."""
+    """The bindings of one pattern, each once; a variable in two positions binds equal terms. Quads
+    are a set, so only wildcards can make bindings repeat, and only then they are made distinct."""
     bound = {c: (None if is_variable(x) else x) for c, x in zip(POSITIONS, pattern)}
     rows = quads.where(condition(**bound))
     at: dict[str, str] = {}
@@ -30,7 +31,8 @@ def solutions(quads: DataFrame, pattern: Pattern) -> DataFrame:
             if x in at:
                 rows = rows.where(F.col(c) == F.col(at[x]))
             at.setdefault(x, c)
-    return rows.select(*[F.col(c).alias(x[1:]) for x, c in at.items()]).distinct()
+    found = rows.select(*[F.col(c).alias(x[1:]) for x, c in at.items()])
+    return found.distinct() if None in pattern else found
 
 
 def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
