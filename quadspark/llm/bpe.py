@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from quadspark.llm.shared import utf8
 from quadspark.llm.tokens import load_ranks
 
 #: Words of a query, bytes of a word that is contracted by query (longer ones by a heap, with the
-#: same result), entries of each generation of a cache, and bytes of text handled together.
-QUERY_WORDS, QUERY_BYTES, CACHE, BLOCK = 30_000, 256, 150_000, 2 << 20
+#: same result), entries of a cache, and characters of text handled together.
+QUERY_WORDS, QUERY_BYTES, CACHE, BLOCK = 30_000, 256, 600_000, 2 << 20
 
 ENCODE = """
 WITH RECURSIVE t AS (
@@ -48,7 +49,7 @@ FROM t JOIN last ON t.k >> 32 = last.w AND t.step = last.step
 GROUP BY 1 ORDER BY 1
 """
 
-DECODE = "SELECT i.w, string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids i JOIN vocabulary v ON v.tok = i.tok GROUP BY 1 ORDER BY 1"
+DECODE = "SELECT i.w, unhex(string_agg(v.hex, '' ORDER BY i.pos)) AS raw FROM ids i JOIN vocabulary v ON v.tok = i.tok GROUP BY 1 ORDER BY 1"
 
 SPACED = re.compile(r"\s ")
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
@@ -62,23 +63,51 @@ def chunks(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
+#: Letters that every pattern's tables agree on lie below this.
+SETTLED = "\u0250"
+
+
+def one_word(chunk: str) -> bool:
+    """Whether the pattern surely takes the whole chunk as one run of letters."""
+    return chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) and (chunk.isascii() or max(chunk) < SETTLED)
+
+
 class Cache:
-    """A mapping that keeps about the last CACHE to 2 * CACHE entries that were used."""
+    """ids and decoded bytes by text. Beyond ``size`` entries, those go that were asked for least
+    often, in blocks, but for what the block at hand needs."""
 
     def __init__(self, size: int = CACHE):
-        self.size, self.new, self.old = size, {}, {}
-
-    def get(self, key):
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
+        self.size = size
+        self.at: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.back: list[bytes] = []
+        self.hits = np.zeros(1024, np.int32)
+
+    def missing(self, wanted: Set[str]) -> list[str]:
+        """What is wanted and not here, after the cache has been cut to size."""
+        if len(self.at) > self.size:
+            hits = self.hits[: len(self.at)]
+            least = int(np.partition(hits, len(hits) // 2)[len(hits) // 2]) + 1  # about half goes, or more
+            keep = [(k, i) for k, i in self.at.items() if hits[i] >= least or k in wanted]
+            old = [i for _, i in keep]
+            self.at = {k: n for n, (k, _) in enumerate(keep)}
+            self.ids, self.back = [self.ids[i] for i in old], [self.back[i] for i in old]
+            self.hits = np.concatenate([hits[old] // 2, np.zeros(1024, np.int32)])
+        return [w for w in wanted if w not in self.at]
+
+    def put(self, keys: list[str], ids: list[bytes], back: list[bytes]) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys))))
+        self.ids += ids
+        self.back += back
+        if len(self.ids) > len(self.hits):
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.ids), np.int32)])
+
+    def places(self, keys) -> np.ndarray:
+        """Where distinct keys, which are all here, stand."""
+        got = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        self.hits[got] += 1
         return got
 
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.size:
-            self.new, self.old = {}, self.new
-        self.new[key] = value
-
 
 def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same contraction by a heap over linked parts, for very long words."""
@@ -144,79 +173,78 @@ class Coder:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _given")
         self.db.unregister("_given")
 
-    def contracted(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words, by the recursive query."""
+    def contracted(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, as little-endian unsigned 32-bit integers, by the recursive query."""
+        if not words:
+            return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         at = np.repeat(np.arange(len(words)), sizes)
         pos = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.db.register("seed", pa.table({"k": (at << 32) + pos, "tok": self.single[np.frombuffer(b"".join(words), np.uint8)]}))
         got = self.db.sql(ENCODE).to_arrow_table()
         self.db.unregister("seed")
-        ids = got.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
-        return [flat[a:b].astype("<u4") for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+        out: list[bytes] = []
+        for part in got.column("ids").chunks:
+            raw, ends = part.flatten().to_numpy().astype("<u4").tobytes(), ((part.offsets.to_numpy() - part.offsets[0].as_py()) * 4).tolist()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
-    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+    def decoded(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each run of ids, by ordered aggregation."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         at = np.repeat(np.arange(len(ids)), sizes)
-        out = [b""] * len(ids)
-        if len(at):
-            flat = np.concatenate(ids).astype(np.int32)
-            self.db.register("ids", pa.table({"w": at, "pos": np.arange(len(at)), "tok": flat}))
-            for w, text in self.db.execute(DECODE).fetchall():
-                out[w] = bytes.fromhex(text)
-            self.db.unregister("ids")
-        return out
-
-    def _encode_words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """(ids as bytes, decoded bytes) of distinct words."""
-        out, todo, raws = {}, [], []
-        for w in words:
-            if (got := self.of_word.get(w)) is not None:
-                out[w] = got
-            else:
-                todo.append(w)
-                raws.append(w.encode("utf-8", "replace"))
+        if not len(at):
+            return [b""] * len(ids)
+        self.db.register("ids", pa.table({"w": at, "pos": np.arange(len(at)), "tok": np.frombuffer(b"".join(ids), "<u4").astype(np.int32)}))
+        got = self.db.sql(DECODE).to_arrow_table()
+        self.db.unregister("ids")
+        back = got.column("raw").to_pylist()
+        if len(back) == len(ids):
+            return back
+        by = dict(zip(got.column("w").to_pylist(), back))
+        return [by.get(i, b"") for i in range(len(ids))]
+
+    def _encode_words(self, words: set[str]) -> None:
+        """Have all these words in their cache."""
+        todo = self.of_word.missing(words)
         for i in range(0, len(todo), QUERY_WORDS):
-            part = raws[i : i + QUERY_WORDS]
-            ids: list = [None] * len(part)
-            hard = []
-            for j, raw in enumerate(part):
-                if (rank := self.ranks.get(raw)) is not None:
-                    ids[j] = np.array([rank], "<u4")
-                elif len(raw) > QUERY_BYTES:
-                    ids[j] = np.array(contract(raw, self.ranks), "<u4")
-                else:
-                    hard.append(j)
-            if hard:
-                for j, x in zip(hard, self.contracted([part[j] for j in hard])):
-                    ids[j] = x
-            for w, x, back in zip(todo[i : i + QUERY_WORDS], ids, self.decoded(ids)):
-                out[w] = (x.tobytes(), back)
-                self.of_word.put(w, out[w])
-        return out
+            own = todo[i : i + QUERY_WORDS]
+            raws = [w.encode("utf-8", "replace") for w in own]
+            ranks = [self.ranks.get(r) for r in raws]
+            hard = iter(self.contracted([r for r, rank in zip(raws, ranks) if rank is None and len(r) <= QUERY_BYTES]))
+            ids = [rank.to_bytes(4, "little") if rank is not None else next(hard) if len(r) <= QUERY_BYTES else np.array(contract(r, self.ranks), "<u4").tobytes() for r, rank in zip(raws, ranks)]
+            self.of_word.put(own, ids, self.decoded(ids))
+        self.of_word.places(words)
+
+    def encode_arrays(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Binary arrays over the texts: ids as little-endian unsigned 32-bit integers, and the bytes
+        they decode to."""
+        cut = [chunks(t) for t in texts]
+        every = list(chain.from_iterable(cut))
+        places = dict(zip(dict.fromkeys(every), count()))
+        cache, words = self.of_chunk, self.of_word
+        new = cache.missing(places.keys())
+        parts = [(c,) if one_word(c) else (c[:-1], c[-1]) if c[-1:] in (",", ".") and one_word(c[:-1] or c) else self.words.findall(c) for c in new]
+        self._encode_words(set(chain.from_iterable(parts)))
+        at = [[words.at[w] for w in ws] for ws in parts]
+        cache.put(new, *([of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws]) for ws in at] for of in (words.ids, words.back)))
+        slots = cache.places(places).tolist()
+        at = np.fromiter(map(places.__getitem__, every), np.int64, len(every))
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        out = []
+        for of in (cache.ids, cache.back):
+            parts_of = pa.array([of[i] for i in slots], pa.binary())
+            taken = parts_of.take(pa.array(at))
+            taken = taken if len(taken) else pa.array([b""], pa.binary())
+            offsets = np.frombuffer(taken.buffers()[1], np.int32)[ends + taken.offset] if len(every) else np.zeros(len(texts) + 1, np.int32)
+            out.append(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), taken.buffers()[2]]))
+        return out[0], out[1]
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32-bit integers, their decoded bytes) of each text."""
-        cut = [chunks(t) for t in texts]
-        known: dict[str, tuple[bytes, bytes]] = {}
-        new: dict[str, list[str]] = {}
-        for c in set().union(*cut):
-            if (got := self.of_chunk.get(c)) is not None:
-                known[c] = got
-            else:
-                new[c] = self.words.findall(c)
-        codes = self._encode_words(list(dict.fromkeys(w for ws in new.values() for w in ws)))
-        for c, ws in new.items():
-            got = tuple(b"".join(x) for x in zip(*(codes[w] for w in ws))) if ws else (b"", b"")
-            known[c] = got
-            if len(c) <= QUERY_BYTES:
-                self.of_chunk.put(c, got)
-        for own in cut:
-            both = [known[c] for c in own]
-            yield b"".join([x for x, _ in both]), b"".join([x for _, x in both])
+        """(ids, decoded bytes) of each text."""
+        ids, back = self.encode_arrays(texts)
+        return zip(ids.to_pylist(), back.to_pylist())
 
 
 def _blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
@@ -242,8 +270,8 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             texts = [raw.decode("utf-8", "replace") for raw in b.column(1).to_pylist()]
             for i, j in _blocks(texts):
-                got = list(zip(*coder.encode_texts(texts[i:j])))[: len(fields) - 1]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(x, pa.binary()) for x in got)], names=out.names)
+                got = coder.encode_arrays(texts[i:j])[: len(fields) - 1]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *got], names=out.names)
 
     return docs.select(F.col(id_col), utf8(text_col).alias("_raw")).mapInArrow(run, out)
 
@@ -257,7 +285,7 @@ def decode(rows: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = coder.decoded([np.frombuffer(x, "<u4") for x in part.column(1).to_pylist()])
+                texts = coder.decoded(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=out.names)
 
     return rows.select(F.col(id_col), F.coalesce(F.col(ids_col), F.lit(b"")).alias("_ids")).mapInArrow(run, out)
