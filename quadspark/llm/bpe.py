@@ -27,7 +27,7 @@ from quadspark.llm.tokens import load_ranks
 
 #: Words of a query, bytes of a word that is contracted by query (longer ones by a heap, with the
 #: same result), entries of a cache, and characters of text handled together.
-QUERY_WORDS, QUERY_BYTES, CACHE, BLOCK = 30_000, 256, 600_000, 2 << 20
+QUERY_WORDS, QUERY_BYTES, CACHE, BLOCK = 30_000, 256, 1_000_000, 2 << 20
 
 ENCODE = """
 WITH RECURSIVE t AS (
