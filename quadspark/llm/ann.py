@@ -4,8 +4,9 @@ Largest inner product becomes smallest distance by one more coordinate, sqrt(M -
 largest squared norm (0 for queries). Centroids are fitted by balanced halving on a bounded sample;
 a small graph over them is searched in memory, by vectors to find their lists and by queries to find
 theirs. A vector near a boundary is replicated to every list whose centroid is nearly as near as the
-nearest, unless one chosen before is nearer to that centroid than the vector; a query visits the
-lists whose distance is within a ratio of the nearest. Lists are searched in blocks of bounded size.
+nearest, unless one chosen before is nearer to that centroid than the vector. A bounded number of the
+queries is compared with all vectors first: a query visits as many lists, or those within such a ratio
+of the nearest, as give these the recall asked for. Lists are searched in blocks of bounded size.
 
 Equal vectors are indexed once, with the k + 1 smallest ids, which is all that any query can return.
 """
@@ -27,6 +28,8 @@ SAMPLE, LEAST_LISTS, MOST_LISTS, LIST_ROWS = 16_384, 64, 4096, 1024
 #: Rows of a block of a list, and queries that are compared with it at once.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 DEGREE = 24
+#: Queries that are compared with all vectors to fit how many lists are visited, at most.
+PROBES = 256
 
 
 def halve(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -96,6 +99,34 @@ class CentroidGraph:
         return np.take_along_axis(at, order, 1), np.maximum(np.take_along_axis(got, order, 1), 0)
 
 
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of all rows of x to all centroids."""
+        x = np.ascontiguousarray(x, np.float32)
+        return np.maximum((x**2).sum(1)[:, None] + self.norm - 2 * x @ self.c.T, 0)
+
+
+def reach(d: np.ndarray, visited: int, ratio: float) -> list[np.ndarray]:
+    """For each row of distances its ``visited`` nearest lists, without those beyond (1 + ratio) of
+    the nearest; nearest first."""
+    near = np.argsort(d, 1, kind="stable")[:, :visited]
+    got = np.take_along_axis(d, near, 1)
+    return [a[m] for a, m in zip(near.astype(np.int32), got <= (1 + ratio) ** 2 * np.maximum(got[:, :1], 1e-12))]
+
+
+def fitted(d: np.ndarray, held: list[tuple[int, list[int]]], recall: float) -> tuple[int, float]:
+    """(visited, ratio), one of them without effect, that find the share ``recall`` of ``held``, pairs
+    of a row of d and the lists that hold one of its neighbours: what visits fewer lists."""
+    everything = d.shape[1], float("inf")
+    if not held:
+        return everything
+    place = np.argsort(np.argsort(d, 1, kind="stable"), 1)
+    far = np.sqrt(d / np.maximum(d.min(1, keepdims=True), 1e-12))
+    at = int(np.ceil(recall * len(held))) - 1
+    visited = int(np.sort([place[i, lists].min() for i, lists in held])[at]) + 1
+    ratio = float(np.sort([far[i, lists].min() for i, lists in held])[at]) * 1.001 - 1
+    return (visited, everything[1]) if visited <= (far <= 1 + ratio).sum(1).mean() else (everything[0], max(ratio, 0.0))
+
+
 def own_lists(graph: CentroidGraph, x: np.ndarray, replicas: int, slack: float) -> list[list[int]]:
     """The lists that each vector is put into."""
     at, d = graph.search(x, 3 * replicas)
@@ -153,14 +184,45 @@ def aimed(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x * scale[:, None], np.zeros((len(x), 1))], 1)
 
 
+def neighbours(posted: DataFrame, probes: list[bytes], dim: int, k: int) -> DataFrame:
+    """(probe, lists): the lists of the k vectors of largest inner product with each probe, among all
+    but itself; every vector is compared."""
+    held = posted.sparkSession.sparkContext.broadcast(probes)
+
+    def run(batches):
+        asks, own = matrix(held.value, dim), {raw: i for i, raw in enumerate(held.value)}
+        best = np.full((len(asks), k), -np.inf)
+        lists = np.empty((len(asks), k), object)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                raws = part.column(0).to_pylist()
+                score = asks @ matrix(raws, dim).T
+                for j, raw in enumerate(raws):
+                    if raw in own:
+                        score[own[raw], j] = -np.inf
+                both = np.concatenate([best, score], 1)
+                at = np.argpartition(both, -k, 1)[:, -k:]
+                best = np.take_along_axis(both, at, 1)
+                new = np.empty(len(raws), object)
+                new[:] = part.column(1).to_pylist()
+                lists = np.where(at < k, np.take_along_axis(lists, np.minimum(at, k - 1), 1), new[np.maximum(at - k, 0)]) if raws else lists
+        q, n = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(best[q, n], pa.float64()), pa.array(list(lists[q, n]), pa.list_(pa.int32()))], names=["probe", "score", "lists"])
+
+    top = posted.select("raw", "lists").mapInArrow(run, "probe int, score double, lists array<int>")
+    return top.withColumn("_n", F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score")))).where(F.col("_n") <= k).select("probe", "lists")
+
+
 def nearest(
     rows: DataFrame,
     is_query: Column,
     k: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    visited: int = 40,
-    ratio: float = 0.35,
+    recall: float = 0.95,
+    visited: int | None = None,
+    ratio: float | None = None,
     replicas: int = 4,
     slack: float = 0.12,
     seed: int = 7,
@@ -171,7 +233,8 @@ def nearest(
     Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
     those of another length than the commonest. Rows that share an id are candidates each, but not
     of a query of that id. Scores are inner products of the given vectors in double precision.
-    ``visited`` lists at most are asked for a query, of those within (1 + ratio) of the nearest.
+    ``visited`` lists at most are asked for a query, of those within (1 + ratio) of the nearest. If
+    neither is given, they are fitted so that ``recall`` is reached by PROBES of the queries.
     """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -205,15 +268,21 @@ def nearest(
                 found = own_lists(graph.value, lifted(matrix(part.column(1).to_pylist(), dim), most), replicas, slack)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["uid", "raw", "lists"])
 
+    posted = save(once.select("uid", "raw").mapInArrow(post, "uid long, raw binary, lists array<int>"), "posted")
+    if visited is None and ratio is None:
+        probes = asked.orderBy(F.xxhash64("qid"), "qid").limit(PROBES).select("raw").toPandas()["raw"].tolist()
+        held = [(r["probe"], r["lists"]) for r in neighbours(posted, probes, dim, k).collect()]
+        visited, ratio = fitted(graph.value.distances(aimed(matrix(probes, dim), most)), held, recall)
+    visited, ratio = visited or len(centroids), float("inf") if ratio is None else ratio
+
     def aim(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                at, d = graph.value.search(aimed(matrix(part.column(1).to_pylist(), dim), most), visited)
-                near = d <= (1 + ratio) ** 2 * d[:, :1]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a[m] for a, m in zip(at, near)], pa.list_(pa.int32()))], names=["qid", "raw", "lists"])
+                at = reach(graph.value.distances(aimed(matrix(part.column(1).to_pylist(), dim), most)), visited, ratio)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32()))], names=["qid", "raw", "lists"])
 
-    posted = save(once.select("uid", "raw").mapInArrow(post, "uid long, raw binary, lists array<int>"), "posted").select("uid", "raw", F.explode("lists").alias("list"))
+    posted = posted.select("uid", "raw", F.explode("lists").alias("list"))
     aims = save(asked.mapInArrow(aim, "qid long, raw binary, lists array<int>"), "aims").select("qid", "raw", F.explode("lists").alias("list"))
     # at most MOST_LISTS rows: how many blocks of vectors and of queries each list has
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_vb"))

@@ -59,6 +59,22 @@ def test_recall_and_small_blocks(spark, monkeypatch, scaled):
     assert all(len(x) == 20 and x == sorted(x, key=lambda y: (-y[1], y[0])) for x in got.values())
 
 
+def test_recall_where_few_of_the_lists_would_be_forty(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "PROBES", 40)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(6000, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    got, want = found(frame(spark, v), 50, 20), exact(np.arange(6000), v.astype(float), range(0, 6000, 50), 20)
+    assert sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_fitted_takes_what_visits_fewer_lists():
+    d = np.array([[1.0, 4.0, 9.0, 100.0], [100.0, 90.0, 80.0, 1.0]])
+    assert ann.fitted(d, [(0, [2]), (1, [3])], 1.0)[0] == 4 and [len(x) for x in ann.reach(d, *ann.fitted(d, [(0, [2]), (1, [3])], 1.0))] == [3, 1]
+    assert ann.fitted(d, [(0, [3, 1]), (1, [2])], 1.0) == (2, float("inf")) and ann.fitted(d, [], 0.9) == (4, float("inf"))
+
+
 def test_graph_search_finds_the_nearest_centroids():
     r = np.random.default_rng(3)
     c, x = r.normal(size=(500, 16)), r.normal(size=(200, 16))
