@@ -15,9 +15,13 @@ from pyspark.sql import types as T
 
 from quadspark.llm.shared import carried, restored, sliced
 
-#: Bounds of the sample: texts of a language, and characters from each.
+#: Bounds of the sample: texts of a language, and characters from each, in so many windows from its
+#: beginning to its end.
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 400
+WINDOWS = 4
+#: Bytes of a dictionary, at most; whatever other languages have.
+DICT_BYTES = 90_000
 #: Bytes of a piece of text that is compressed at once.
 PIECE = 2048
 #: Levels of compression, and the bytes of text up to which the finer one is used.
@@ -33,9 +37,16 @@ def folded(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_LETTERS).split())
 
 
+def spread(text: str, chars: int) -> Column:
+    """About ``chars`` characters in windows all over a text; the whole text if it has no more."""
+    n, width = F.length(text), max(1, chars // WINDOWS)
+    at = [F.floor((n - width) * i / (WINDOWS - 1)).cast("int") + 1 for i in range(WINDOWS)]
+    return F.when(n <= chars, F.col(text)).otherwise(F.concat_ws(" ", *(F.substring(text, i, F.lit(width)) for i in at)))
+
+
 def training_rows(docs: DataFrame, where: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(language, piece of text) of each language's ``sample_docs`` texts of the smallest hashes.
-    What reaches the driver is bounded by the number of languages."""
+    """(language, pieces of a text) of each language's ``sample_docs`` texts of the smallest hashes,
+    in the order of these. What reaches the driver is bounded by the number of languages."""
     ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)
     own = docs.where(ok if where is None else ok & where)
     # by the exact counts, hashes are cut so that about four times as many rows as needed are ranked
@@ -44,17 +55,18 @@ def training_rows(docs: DataFrame, where: Column | None = None, sample_docs: int
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     few = own.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(place < F.col("_share"))
     ids = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs).select("doc_id", F.col("lang").alias("_lang"))
-    got = own.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("_part")).join(F.broadcast(ids), "doc_id").where("lang = _lang")
-    return sorted((r["lang"], r["_part"]) for r in got.select("lang", "_part").distinct().collect())
+    got = own.select("doc_id", "lang", spread("text", sample_chars).alias("_part")).join(F.broadcast(ids), "doc_id").where("lang = _lang")
+    got = got.groupBy("lang", "_part").agg(F.min(F.xxhash64("doc_id")).alias("_h"))
+    return [(r["lang"], r["_part"]) for r in sorted(got.collect(), key=lambda r: (r["lang"], r["_h"], r["_part"]))]
 
 
 def dictionaries(rows: list[tuple[str, str]]) -> dict[str, bytes]:
-    """A raw-content dictionary for each language, about equally long ones."""
+    """A raw-content dictionary for each language that has a letter, of DICT_BYTES or of all that its
+    rows hold if that is less. A language of few rows has a short one and takes nothing from others."""
     by: dict[str, list[bytes]] = {}
     for lang, part in rows:
         by.setdefault(lang, []).append(folded(part))
-    most = min((sum(map(len, p)) for p in by.values()), default=0)
-    return {lang: b" ".join(p)[: max(most, 4096)] for lang, p in sorted(by.items())}
+    return {lang: own for lang, p in sorted(by.items()) if (own := b" ".join(filter(None, p))[:DICT_BYTES])}
 
 
 def has_letter(text: str) -> bool:

@@ -23,6 +23,23 @@ def test_sample_is_bounded(spark):
     assert 0 < sum(x == "a" for x, _ in rows) <= 50 and sum(x == "b" for x, _ in rows) == 10
 
 
+def test_a_rare_language_takes_nothing_from_the_others():
+    rows = [(lang, f"{lang} " + "word " * 70 + str(i)) for lang in ("a", "b") for i in range(200)]
+    alone = lg.dictionaries(rows)
+    assert min(map(len, alone.values())) > 60_000
+    assert lg.dictionaries([*rows, ("rare", "one short row"), ("none", "123 ")]) == {**alone, "rare": b"one short row"}
+
+
+def test_pieces_come_from_all_over_the_texts_in_hash_order(spark):
+    rows = [(i, f"start{i} " + "x" * 3000 + " middle " + "y" * 3000 + f" end{i}", "a") for i in range(40)] + [(100, "short", "a"), (101, "short", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [part for _, part in lg.training_rows(docs)]
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).collect() if r.doc_id < 100]
+    long = [part for part in got if part != "short"]
+    assert [part.split()[0] for part in long] == [f"start{i}" for i in order] and got.count("short") == 1
+    assert all("y" in part and part.split()[-1] == f"end{i}" and len(part) <= 403 for part, i in zip(long, order))
+
+
 def test_edges(spark):
     docs = documents(spark)
     dicts = {"en": b"alpha beta gamma delta words one " * 40, "xx": b"qqq zzz vvv jjj kkk www " * 40}
