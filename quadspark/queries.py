@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,17 +85,13 @@ def quads(spark: SparkSession, d: str) -> DataFrame:
     return mp.quads(spark, d)
 
 
-def small(spark: SparkSession, d: str) -> DataFrame:
-    return mp.quads(spark, d, SMALL)
-
-
 def texts(spark: SparkSession, d: str) -> DataFrame:
     return mp.quads(spark, d, mp.TEXTS)
 
 
-def coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The dictionary of the small quads, and those encoded with ids."""
-    q = small(spark, d)
+def coded(spark: SparkSession, d: str, tables: list[mp.Table]) -> tuple[DataFrame, DataFrame]:
+    """The dictionary of the tables' quads, and those encoded with ids; both are stored."""
+    q = mp.quads(spark, d, tables)
     dictionary = dc.build(q)
     return dictionary, dc.with_quad_ids(dc.encode(q, dictionary))
 
@@ -274,10 +271,10 @@ def term_dictionary(s, d):
 
 
 @add("term_lookup", f"WITH {QS}, {TERMS}, A AS (SELECT '<urn:nation/' || n_nationkey || '>' AS term FROM nation UNION ALL SELECT '<urn:x/' || r_regionkey || '>' FROM region) SELECT A.term, coalesce(T.term_id, -1) AS term_id FROM A LEFT JOIN T ON A.term = T.term")
-def term_lookup(s, d):
+def term_lookup(s, d, tables=SMALL):
     known = s.read.parquet(f"{d}/nation.parquet").select(t.iri(F.concat(F.lit("urn:nation/"), F.col("n_nationkey").cast("string"))).alias("term"))
     not_known = s.read.parquet(f"{d}/region.parquet").select(t.iri(F.concat(F.lit("urn:x/"), F.col("r_regionkey").cast("string"))).alias("term"))
-    return dc.lookup(dc.build(small(s, d)), known.unionByName(not_known))
+    return dc.lookup(dc.build(mp.quads(s, d, tables)), known.unionByName(not_known))
 
 
 @add(
@@ -302,18 +299,18 @@ def _values(s, d):
 
 
 @add("store_register_result", _REGISTER + "SELECT V.term, T.term IS NOT NULL AS existed, coalesce(T.term_id, N.term_id) AS term_id, T.term IS NULL AS was_added FROM V LEFT JOIN T ON V.term = T.term LEFT JOIN N ON V.term = N.term")
-def store_register_result(s, d):
-    return dc.register_result(dc.build(small(s, d)), _values(s, d))
+def store_register_result(s, d, tables=SMALL):
+    return dc.register_result(dc.build(mp.quads(s, d, tables)), _values(s, d))
 
 
 @add("store_delete_result", _REGISTER + "SELECT V.term, T.term IS NOT NULL AS existed, coalesce(T.term_id, -1) AS term_id FROM V LEFT JOIN T ON V.term = T.term")
-def store_delete_result(s, d):
-    return dc.delete_result(dc.build(small(s, d)), _values(s, d))
+def store_delete_result(s, d, tables=SMALL):
+    return dc.delete_result(dc.build(mp.quads(s, d, tables)), _values(s, d))
 
 
 @add("store_contains", _REGISTER + "SELECT V.term FROM V WHERE term IN (SELECT term FROM T)")
-def store_contains(s, d):
-    return dc.contains(dc.build(small(s, d)), _values(s, d))
+def store_contains(s, d, tables=SMALL):
+    return dc.contains(dc.build(mp.quads(s, d, tables)), _values(s, d))
 
 
 @add("encode_quads", f"WITH {Q}, {TERMS}, {ENC} SELECT g_id, s_id, p_id, o_id FROM E")
@@ -323,20 +320,20 @@ def encode_quads(s, d):
 
 
 @add("decode_quads", f"WITH {QS}, {TERMS}, {ENC} SELECT quad_id, tg.term AS g, ts.term AS s, tp.term AS p, tt.term AS o FROM I JOIN T tg ON tg.term_id = g_id JOIN T ts ON ts.term_id = s_id JOIN T tp ON tp.term_id = p_id JOIN T tt ON tt.term_id = o_id")
-def decode_quads(s, d):
-    dictionary, e = coded(s, d)
+def decode_quads(s, d, tables=SMALL):
+    dictionary, e = coded(s, d, tables)
     return dc.decode(e, dictionary)
 
 
 @add("decode_triples", f"WITH {QS} SELECT s, p, o FROM Q")
-def decode_triples(s, d):
-    dictionary, e = coded(s, d)
+def decode_triples(s, d, tables=SMALL):
+    dictionary, e = coded(s, d, tables)
     return dc.decode(e.drop("quad_id"), dictionary, ["s", "p", "o"])
 
 
 @add("quad_by_id", f"WITH {QS}, {TERMS}, {ENC} SELECT quad_id, g_id, s_id, p_id, o_id FROM I WHERE quad_id IN (SELECT n_nationkey * 7 FROM nation UNION SELECT 100000000)")
-def quad_by_id(s, d):
-    _, e = coded(s, d)
+def quad_by_id(s, d, tables=SMALL):
+    _, e = coded(s, d, tables)
     ids = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") * 7).cast("bigint").alias("quad_id")).unionByName(s.range(1).select(F.lit(100000000).cast("bigint").alias("quad_id")))
     return dc.quads_by_id(e, ids).select("quad_id", *dc.ENCODED)
 
@@ -421,19 +418,25 @@ def bitmap_higher_page(s, d):
     f"WITH {QS}, {TERMS}, {ENC}, L AS (SELECT 'g' AS pos, g_id AS term_id, quad_id FROM I UNION ALL SELECT 's', s_id, quad_id FROM I UNION ALL SELECT 'p', p_id, quad_id FROM I UNION ALL SELECT 'o', o_id, quad_id FROM I) "
     f"SELECT pos, term_id, quad_id // 64 AS page, bit_or({_mask('quad_id')}) AS bits FROM L GROUP BY 1, 2, 3",
 )
-def postings(s, d):
-    return bm.posting_lists(coded(s, d)[1])
+def postings(s, d, tables=SMALL):
+    return bm.posting_lists(coded(s, d, tables)[1])
 
 
 @add("find_via_bitmap", f"WITH {QS} SELECT g, s, p, o FROM Q WHERE g = '<urn:g:customer>' AND p = '{CUSTOMER_NATION}' AND o = '<urn:nation/7>'")
-def find_via_bitmap(s, d):
-    dictionary, e = coded(s, d)
+def find_via_bitmap(s, d, tables=SMALL):
+    dictionary, e = coded(s, d, tables)
     terms = {"g": "<urn:g:customer>", "p": CUSTOMER_NATION, "o": "<urn:nation/7>"}
     known = {r["term"]: r["term_id"] for r in dictionary.where(F.col("term").isin(list(terms.values()))).collect()}
     hits = bm.find(e, bm.posting_lists(e), {c: known.get(x, -1) for c, x in terms.items()})
     return dc.decode(hits.drop("quad_id"), dictionary)
 
 
+# -- the same over all mapped tables, orders and parts too ---------------------------------------
+for _name in ("term_lookup", "store_register_result", "store_delete_result", "store_contains", "decode_quads", "decode_triples", "quad_by_id", "postings", "find_via_bitmap"):
+    _query, _sql = SPECS[_name]
+    SPECS[f"{_name}_whole"] = (partial(_query, tables=mp.CATALOG), _sql.replace(QS, Q))
+
+
 # -- indexes ------------------------------------------------------------------------------------
 @add("lang_index", f"WITH {QT}, T AS (SELECT DISTINCT o FROM Q) SELECT regexp_extract(o, '(?s)^\".*\"@([A-Za-z0-9-]+)$', 1) AS item, count(*) AS n FROM T WHERE regexp_matches(o, '(?s)^\".*\"@([A-Za-z0-9-]+)$') GROUP BY 1")
 def lang_index(s, d):

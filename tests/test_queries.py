@@ -12,5 +12,12 @@ def test_query_equals_its_sql(spark, sf, name):
     assert differs(spark, sf, query, sql) is None
 
 
+def test_whole_queries_reach_every_mapped_table(spark, sf):
+    all_graphs = {x.graph for x in queries.mp.CATALOG}
+    assert {r.g for r in SPECS["decode_quads_whole"][0](spark, sf).select("g").distinct().collect()} == all_graphs
+    whole = {x for x in SPECS if x.endswith("_whole")}
+    assert len(whole) == 9 and all(queries.QS not in SPECS[x][1] and queries.Q in SPECS[x][1] for x in whole)
+
+
 def test_entry_has_rows(spark, sf):
     assert queries.entry(spark, sf).count() > 0
