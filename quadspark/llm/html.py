@@ -13,7 +13,7 @@ import html as references
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +41,12 @@ MARKS = {
     "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar",
     "warning", "widget",
 }
+#: Those of them that main text is named by as well: no mark within main elements, a weight elsewhere.
+WEAK = {"form", "header", "legal", "notice", "notices", "notification", "search", "skip", "warning", "widget"}
+#: Those that may well hold more words than the main text.
+LONG = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "disqus", "promo", "promotion", "replies", "reply", "respond", "sponsor", "sponsored"}
+#: First words of names that deny or qualify the rest, and those that make a header the text's own.
+QUALIFIERS, TITLED = {"no", "not", "has", "with", "without", "is", "can"}, {"entry", "post", "article", "content"}
 #: Elements that an opening tag closes if they are innermost.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
@@ -62,58 +68,93 @@ class Item:
 
 @dataclass
 class Element:
+    """``mark`` is "", "hard" (name, role, hidden), "class" or "weak"; ``began`` holds the number of a
+    marked class and the words, all and those of main elements, that stood before it."""
+
     name: str
-    boilerplate: bool
-    attributes: str = field(default="", repr=False)
+    mark: str
+    names: frozenset[str] = frozenset()
+    began: tuple[int, int, int] = (-1, 0, 0)
+
+
+def marked_names(value: str) -> set[str]:
+    """The words of class and id names that mark boilerplate."""
+    out: set[str] = set()
+    for name in value.split():
+        words = NAME_WORD.findall(name)
+        if words and words[0] not in QUALIFIERS:
+            out |= MARKS.intersection(words) - ({"header"} if words[0] in TITLED else set())
+    return out
 
 
-def marks_boilerplate(name: str, attributes: str, within_main: bool) -> bool:
+def mark_of(name: str, attributes: str, within_main: bool) -> tuple[str, frozenset[str]]:
+    """How an element is marked as boilerplate, and the class words that mark it."""
     if name in BOILERPLATE or (name == "header" and not within_main):
-        return True
+        return "hard", frozenset()
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return "", frozenset()
+    found: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return "hard", frozenset()
         if key == "role" and value.strip() in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("article", "main") and MARKS.intersection(NAME_WORD.findall(value)):
-            return True
-        if key in ("class", "id") and name == "article" and {"comment", "comments", "related", "promo", "ad"}.intersection(NAME_WORD.findall(value)):
-            return True
-    return False
+            return "hard", frozenset()
+        if key in ("class", "id") and name != "main":
+            own = marked_names(value)
+            found |= own & {"comment", "comments", "related", "promo", "ad"} if name == "article" else own
+    if found <= WEAK:
+        return ("weak" if found and not within_main else ""), frozenset(found)
+    return "class", frozenset(found)
 
 
 def items_of(page: str) -> list[Item]:
     """The page's tags and runs of text in order. Never fails: what isn't a tag is text."""
+    out, holders = scanned(page, frozenset())
+    return scanned(page, holders)[0] if holders else out
+
+
+def scanned(page: str, unmarked: frozenset[int]) -> tuple[list[Item], frozenset[int]]:
+    """The items, and the numbers of the elements with marked classes that hold most of the words in
+    main elements, or of all words if there are none; ``unmarked`` ones count as not marked."""
     lower = page.lower()
     main = "article" if "<article" in lower else "main" if "<main" in lower else ""
     out: list[Item] = []
     stack: list[Element] = []
-    bad = links = mains = block = at = 0
+    bad = hard = weak = links = mains = block = at = classes = words = main_words = 0
+    held: list[tuple[int, int, int, frozenset[str]]] = []
 
     def pop(n: int) -> None:
-        nonlocal bad, links, mains
+        nonlocal bad, hard, weak, links, mains
         while len(stack) > n:
             e = stack.pop()
-            bad -= e.boilerplate
+            bad -= e.mark in ("hard", "class")
+            hard -= e.mark == "hard"
+            weak -= e.mark == "weak"
+            if e.began[0] >= 0:
+                held.append((e.began[0], words - e.began[1], main_words - e.began[2], e.names))
             links -= e.name == "a"
             mains -= e.name == main
 
     def run(text: str) -> None:
+        nonlocal words, main_words
         if not text:
             return
         text = references.unescape(text) if "&" in text else text
         place = "" if not main else "in" if mains else "out"
-        kind = "boilerplate" if bad else "a" if links else next((e.name for e in reversed(stack) if e.name in BLOCK), "")
-        out.append(Item(("w", kind, place), len(text.split()), text, block, bad > 0))
+        kind = "boilerplate" if bad else "a" if links else "weak" if weak else next((e.name for e in reversed(stack) if e.name in BLOCK), "")
+        n = len(text.split())
+        words += n * (not hard)
+        main_words += n * (not hard and mains > 0)
+        out.append(Item(("w", kind, place), n, text, block, bad > 0))
 
     while True:
         m = TAG.search(page, at)
         run(page[at : m.start() if m else len(page)])
         if not m:
-            return out
+            pop(0)
+            most = lambda names: 0.9 if names & LONG else 0.5
+            return out, frozenset(k for k, n, n_main, names in held if (n_main > 0.5 * main_words if main_words else n > most(names) * words))
         at = m.end()
         if m[1]:
             run(m[1])
@@ -143,10 +184,16 @@ def items_of(page: str) -> list[Item]:
             closes = CLOSES.get(name, {"p"} if name in BLOCK else {"a"})
             while stack and stack[-1].name in closes:
                 pop(len(stack) - 1)
-        marked = marks_boilerplate(name, m[4], mains > 0)
-        if name in BLOCK or name == "a" or marked:
-            stack.append(Element(name, marked))
-            bad += marked
+        mark, names = mark_of(name, m[4], mains > 0)
+        if name in BLOCK or name == "a" or mark:
+            began = (-1, 0, 0)
+            if mark in ("class", "weak"):
+                began, mark = (classes, words, main_words), "" if classes in unmarked else mark
+                classes += 1
+            stack.append(Element(name, mark, names, began))
+            bad += mark in ("hard", "class")
+            hard += mark == "hard"
+            weak += mark == "weak"
             links += name == "a"
             mains += name == main
 
@@ -168,7 +215,7 @@ Weights = dict[tuple[str, str, str], float]
 
 #: What words and tags are worth of which nothing is known, in words.
 DEFAULT = {"w": 1.0, "t": -0.3}
-FIXED: Weights = {("w", "a", ""): -1.0}
+FIXED: Weights = {("w", "a", ""): -1.0, ("w", "weak", ""): -1.0}
 #: A run of boilerplate is a gap: its text is dropped anyway, however long. None within main elements.
 GAP = -6.0
 
@@ -186,7 +233,7 @@ def weigh(counts: dict[tuple[str, str, str], tuple[int, int]]) -> Weights:
     out: Weights = {}
     for key in {k[:3] for k in total}:
         odds = max(-3.0, min(3.0, math.log((total[(*key, 0)] + 0.5) / (total[(*key, 1)] + 0.5))))
-        out[key] = min(-0.05, odds / 2) if key[0] == "t" else odds
+        out[key] = min(-0.05, odds / 2) if key[0] == "t" else min(-0.5, odds) if key[1] == "weak" else odds
     return out
 
 

@@ -27,6 +27,29 @@ def test_main_text_of_templates(page):
     assert h.main_text(page, h.weigh({})) == WANT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{NAV}<div class='content no-sidebar'><article>{BODY}</article></div>{FOOT}",
+        f"<body>{NAV}<div id='page' class='has-header'>{BODY}</div>{FOOT}",
+        f"<body>{NAV}<div class='site widget-ready'><article>{BODY}</article></div>{FOOT}",
+        f"<body>{NAV}<div class='sidebar-left social'>{BODY}</div>{FOOT}",
+        f"<body>{NAV}<div class='menu'><article>{BODY}</article><div class='related-posts'>Other posts</div></div><div class=comments>{'I think so too. ' * 20}</div>{FOOT}",
+    ],
+)
+def test_class_words_do_not_drop_what_holds_the_main_text(page):
+    assert h.main_text(page, h.weigh({})) == WANT
+
+
+def test_headers_and_warnings_of_the_text_stay():
+    w = h.weigh({})
+    page = f"<body>{NAV}<article><div class='entry-header'><h1>The title</h1></div>{BODY}<div class='warning'><p>Mind this.</p></div><div class='share'>Tell your friends</div></article>{FOOT}"
+    assert h.main_text(page, w) == f"The title\n{WANT}\nMind this."
+    assert h.main_text(page.replace("article>", "div>"), w).startswith(f"The title\n{WANT}")
+    inner = f"<body><div class='header'>Site name</div><div>{BODY}<p class='notice'>Mind this.</p>{BODY}</div><div class='legal'>All rights are reserved here</div>"
+    assert h.main_text(inner, w) == f"{WANT}\nMind this.\n{WANT}"
+
+
 def test_markup_within_words_and_broken_markup():
     w = h.weigh({})
     assert h.main_text("<article><h1>Ti<b>t</b>le</h1><p>one<br>two <i>three</i><p>four &lt;b&gt; &#233; &bogus; a < b</article>", w) == "Title\none two three\nfour <b> é &bogus; a < b"
