@@ -87,7 +87,8 @@ class Cuckoo:
     def delete(self, keys: np.ndarray) -> None:
         """Remove keys that were added; one fingerprint goes for each."""
         fp, i = self._places(keys)
-        for at in (i, self._other(fp, i)):
+        for other in (False, True):
+            at = self._other(fp, i) if other else i
             left = np.arange(len(fp))
             while len(left):
                 cell = self.cells[at[left]] == fp[left][:, None]

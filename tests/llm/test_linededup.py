@@ -59,6 +59,16 @@ def test_cuckoo_holds_what_was_added_and_not_deleted(keys):
     assert Cuckoo(len(c.cells), c.to_bytes()).contains(keys).all()
 
 
+def test_cuckoo_deletes_displaced_fingerprints():
+    keys = np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 3000, np.int64)
+    c = Cuckoo(1024)
+    c.insert(keys)
+    c.delete(keys[:2000])
+    assert (c.cells > 0).sum() == 1000 and c.contains(keys[2000:]).all()
+    c.delete(keys[2000:])
+    assert not c.cells.any()
+
+
 @pytest.mark.parametrize("broadcast", [(64 << 20, 500_000), (64 << 20, 0), (0, 0)])
 def test_all_routes_equal_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(ld, "BROADCAST_BYTES", broadcast[0])
