@@ -1,19 +1,21 @@
 """Byte-level BPE by recursive DuckDB queries, per partition.
 
-A text is cut at provable boundaries (a space after what isn't white space: no alternative of the
-pattern crosses it) into chunks, and each chunk that is new into the pattern's matches, words. Words
-that are tokens themselves are done. The others become (word, position, token) rows; one recursive
-query joins neighbouring rows to the table of merges, takes each word's pair of the smallest rank,
-leftmost, contracts it, and goes on until no word has a pair. Decoding joins ids to their bytes and
-aggregates them in order. Results of chunks and words are kept in caches of bounded size, which
-only save work; every text is encoded whole.
+A text is split into the pattern's matches, words, exactly as the library splits it. Words that are
+tokens themselves are done. The other distinct words of a block become (word, position, token) rows;
+one recursive query joins neighbouring rows to the table of merges, takes each word's pair of the
+smallest rank, leftmost, contracts it, and goes on with the words that have a pair left until none
+has. A document's ids are those of its words in order. Decoding joins a document's ids to their bytes
+and aggregates them in order. A worker remembers the ids of the words it saw last, in a bounded number of
+bytes, and a text longer than a block is cut at provable boundaries, so memory is bounded whatever the
+texts hold.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator, Set
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, count
 
 import numpy as np
@@ -22,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import utf8
+from quadspark.llm.shared import sliced, utf8
 from quadspark.llm.tokens import load_ranks
 
-#: Words of a query, bytes of a word that is contracted by query (longer ones by a heap, with the
-#: same result), entries of a cache, and characters of text handled together.
-QUERY_WORDS, QUERY_BYTES, CACHE, BLOCK = 30_000, 256, 1_000_000, 2 << 20
+#: Bytes of a word that is contracted by query (longer ones by a heap, with the same result): a word of
+#: n bytes makes up to n * n / 2 rows in up to n rounds. Twice the rows of one query, at most,
+#: characters of text handled together, and bytes of the words remembered by a worker, about.
+QUERY_BYTES, QUERY_ROWS, BLOCK, REMEMBERED = 1024, 4 << 20, 1 << 20, 64 << 20
 
 ENCODE = """
 WITH RECURSIVE t AS (
@@ -51,62 +54,39 @@ GROUP BY 1 ORDER BY 1
 
 DECODE = "SELECT i.w, unhex(string_agg(v.hex, '' ORDER BY i.pos)) AS raw FROM ids i JOIN vocabulary v ON v.tok = i.tok GROUP BY 1 ORDER BY 1"
 
-SPACED = re.compile(r"\s ")
+#: A space after something else than white space: no alternative of the pattern crosses it.
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut before each space that follows something else than white space."""
-    if SPACED.search(text):
-        return BOUNDARY.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-
-#: Letters that every pattern's tables agree on lie below this.
-SETTLED = "\u0250"
-
-
-def one_word(chunk: str) -> bool:
-    """Whether the pattern surely takes the whole chunk as one run of letters."""
-    return chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) and (chunk.isascii() or max(chunk) < SETTLED)
-
-
-class Cache:
-    """ids and decoded bytes by text. Beyond ``size`` entries, those go that were asked for least
-    often, in blocks, but for what the block at hand needs."""
-
-    def __init__(self, size: int = CACHE):
-        self.size = size
-        self.at: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.back: list[bytes] = []
-        self.hits = np.zeros(1024, np.int32)
-
-    def missing(self, wanted: Set[str]) -> list[str]:
-        """What is wanted and not here, after the cache has been cut to size."""
-        if len(self.at) > self.size:
-            hits = self.hits[: len(self.at)]
-            least = int(np.partition(hits, len(hits) // 2)[len(hits) // 2]) + 1  # about half goes, or more
-            keep = [(k, i) for k, i in self.at.items() if hits[i] >= least or k in wanted]
-            old = [i for _, i in keep]
-            self.at = {k: n for n, (k, _) in enumerate(keep)}
-            self.ids, self.back = [self.ids[i] for i in old], [self.back[i] for i in old]
-            self.hits = np.concatenate([hits[old] // 2, np.zeros(1024, np.int32)])
-        return [w for w in wanted if w not in self.at]
-
-    def put(self, keys: list[str], ids: list[bytes], back: list[bytes]) -> None:
-        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys))))
-        self.ids += ids
-        self.back += back
-        if len(self.ids) > len(self.hits):
-            self.hits = np.concatenate([self.hits, np.zeros(len(self.ids), np.int32)])
-
-    def places(self, keys) -> np.ndarray:
-        """Where distinct keys, which are all here, stand."""
-        got = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
-        self.hits[got] += 1
-        return got
+#: The classes of characters that patterns may name, each with a character that has long been in it.
+CLASSES = {r"\p{L}": "\u00e9", r"\p{N}": "\u00b2", r"\s": "\u2003", r"[^\s\p{L}\p{N}]": "\u00a4"}
+
+
+@lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """Code points that the library's Unicode tables put into another class than those of the regex
+    module do, and a character of that class in both. The library is asked about every code point:
+    whether it takes it into one word with a character of the class before it."""
+    import regex
+    import tiktoken
+
+    points = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    single = {bytes([b]): b for b in range(256)}
+    out: dict[int, str] = {}
+    for name, member in CLASSES.items():
+        lead = {r"\p{L}": b"a", r"\p{N}": b"1", r"\s": b"\t"}.get(name, b"!")
+        words = tiktoken.Encoding("classes", pat_str=f"{name}+|[^a]|a", mergeable_ranks=single | {lead + bytes([b]): 256 + b for b in range(256)}, special_tokens={})
+        theirs = np.zeros(0x110000, bool)
+        end = "!" if lead != b"!" else "a"
+        for i in range(0, len(points), 65_536):
+            own = points[i : i + 65_536]
+            ids = np.asarray(words.encode_ordinary("".join(f"{lead.decode()}{chr(c)}{end}" for c in own)))
+            starts = ids[(ids == lead[0]) | (ids >= 256)]
+            theirs[own] = starts >= 256
+        ours = np.zeros(0x110000, bool)
+        for m in regex.finditer(f"{name}+", every):
+            ours[points[m.start()] : points[m.end() - 1] + 1] = True
+        out |= {c: member for c in np.flatnonzero(theirs & ~ours).tolist()}
+    return out
 
 
 def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -136,18 +116,44 @@ def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, g in zip(parts, gone) if not g]
 
 
+class Recent:
+    """Ids of the words seen last, in about ``most`` bytes: what the younger half lacks and the older
+    has moves back to the younger; when that is full, it takes the older one's place."""
+
+    def __init__(self, most: int | None = None):
+        self.most = REMEMBERED if most is None else most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def get(self, word: str) -> bytes | None:
+        found = self.young.get(word)
+        if found is None and (found := self.old.get(word)) is not None:
+            self.put(word, found)
+        return found
+
+    def put(self, word: str, ids: bytes) -> None:
+        if 2 * self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[word] = ids
+        self.size += 200 + 2 * len(word) + len(ids)  # objects and places in the table count about 200 bytes
+
+
 class Coder:
-    """Encodes and decodes by one vocabulary; one for each Python worker."""
+    """Encodes and decodes by one vocabulary; one for each Python worker. A pattern may name the
+    classes of CLASSES and characters. ``unlike`` are the library's stand_ins()."""
 
     _own: dict[tuple[str, str | None], "Coder"] = {}
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, unlike: dict[int, str] | None = None):
         import duckdb
         import regex
 
         if pattern is None:
             from public_tokenizers import PATTERN as pattern
         self.words = regex.compile(pattern)
+        self.unlike = stand_ins() if unlike is None else unlike
+        self.odd = frozenset(map(chr, self.unlike))
         self.ranks = load_ranks(path)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs, merged = [], []
@@ -157,15 +163,15 @@ class Coder:
                 if a is not None and b is not None:
                     pairs.append((a << 32) + b)
                     merged.append(i)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.recent = Recent()
         self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self._load("vocabulary", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
-        self.of_chunk, self.of_word = Cache(), Cache()
 
     @classmethod
-    def get(cls, path: str, pattern: str | None = None) -> "Coder":
+    def get(cls, path: str, pattern: str | None = None, unlike: dict[int, str] | None = None) -> "Coder":
         if (path, pattern) not in cls._own:
-            cls._own[path, pattern] = cls(path, pattern)
+            cls._own[path, pattern] = cls(path, pattern, unlike)
         return cls._own[path, pattern]
 
     def _load(self, name: str, rows: pa.Table) -> None:
@@ -175,79 +181,91 @@ class Coder:
 
     def contracted(self, words: list[bytes]) -> list[bytes]:
         """Ids of words, as little-endian unsigned 32-bit integers, by the recursive query."""
-        if not words:
-            return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.repeat(np.arange(len(words)), sizes)
-        pos = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.db.register("seed", pa.table({"k": (at << 32) + pos, "tok": self.single[np.frombuffer(b"".join(words), np.uint8)]}))
-        got = self.db.sql(ENCODE).to_arrow_table()
-        self.db.unregister("seed")
+        run = np.cumsum(sizes * sizes) // QUERY_ROWS
+        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(words)] if words else []
         out: list[bytes] = []
-        for part in got.column("ids").chunks:
-            raw, ends = part.flatten().to_numpy().astype("<u4").tobytes(), ((part.offsets.to_numpy() - part.offsets[0].as_py()) * 4).tolist()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        for i, j in zip(cuts, cuts[1:]):
+            own = sizes[i:j]
+            at = np.repeat(np.arange(j - i), own)
+            pos = np.arange(len(at)) - np.repeat(np.cumsum(own) - own, own)
+            self.db.register("seed", pa.table({"k": (at << 32) + pos, "tok": self.single[np.frombuffer(b"".join(words[i:j]), np.uint8)]}))
+            got = self.db.sql(ENCODE).to_arrow_table()
+            self.db.unregister("seed")
+            for part in got.column("ids").chunks:
+                raw, ends = part.flatten().to_numpy().astype("<u4").tobytes(), ((part.offsets.to_numpy() - part.offsets[0].as_py()) * 4).tolist()
+                out += [raw[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
     def decoded(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each run of ids, by ordered aggregation."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         at = np.repeat(np.arange(len(ids)), sizes)
-        if not len(at):
-            return [b""] * len(ids)
-        self.db.register("ids", pa.table({"w": at, "pos": np.arange(len(at)), "tok": np.frombuffer(b"".join(ids), "<u4").astype(np.int32)}))
-        got = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("ids")
-        back = got.column("raw").to_pylist()
-        if len(back) == len(ids):
-            return back
-        by = dict(zip(got.column("w").to_pylist(), back))
-        return [by.get(i, b"") for i in range(len(ids))]
-
-    def _encode_words(self, words: set[str]) -> None:
-        """Have all these words in their cache."""
-        todo = self.of_word.missing(words)
-        for i in range(0, len(todo), QUERY_WORDS):
-            own = todo[i : i + QUERY_WORDS]
-            raws = [w.encode("utf-8", "replace") for w in own]
-            ranks = [self.ranks.get(r) for r in raws]
-            hard = iter(self.contracted([r for r, rank in zip(raws, ranks) if rank is None and len(r) <= QUERY_BYTES]))
-            ids = [rank.to_bytes(4, "little") if rank is not None else next(hard) if len(r) <= QUERY_BYTES else np.array(contract(r, self.ranks), "<u4").tobytes() for r, rank in zip(raws, ranks)]
-            self.of_word.put(own, ids, self.decoded(ids))
-        self.of_word.places(words)
-
-    def encode_arrays(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        """Binary arrays over the texts: ids as little-endian unsigned 32-bit integers, and the bytes
-        they decode to."""
-        cut = [chunks(t) for t in texts]
-        every = list(chain.from_iterable(cut))
-        places = dict(zip(dict.fromkeys(every), count()))
-        cache, words = self.of_chunk, self.of_word
-        new = cache.missing(places.keys())
-        parts = [(c,) if one_word(c) else (c[:-1], c[-1]) if c[-1:] in (",", ".") and one_word(c[:-1] or c) else self.words.findall(c) for c in new]
-        self._encode_words(set(chain.from_iterable(parts)))
-        at = [[words.at[w] for w in ws] for ws in parts]
-        cache.put(new, *([of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws]) for ws in at] for of in (words.ids, words.back)))
-        slots = cache.places(places).tolist()
-        at = np.fromiter(map(places.__getitem__, every), np.int64, len(every))
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        out = []
-        for of in (cache.ids, cache.back):
-            parts_of = pa.array([of[i] for i in slots], pa.binary())
-            taken = parts_of.take(pa.array(at))
-            taken = taken if len(taken) else pa.array([b""], pa.binary())
-            offsets = np.frombuffer(taken.buffers()[1], np.int32)[ends + taken.offset] if len(every) else np.zeros(len(texts) + 1, np.int32)
-            out.append(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), taken.buffers()[2]]))
-        return out[0], out[1]
-
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each text."""
-        ids, back = self.encode_arrays(texts)
-        return zip(ids.to_pylist(), back.to_pylist())
-
-
-def _blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
+        out = [b""] * len(ids)
+        if len(at):
+            self.db.register("ids", pa.table({"w": at, "pos": np.arange(len(at)), "tok": np.frombuffer(b"".join(ids), "<u4").astype(np.int32)}))
+            got = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("ids")
+            for i, raw in zip(got.column("w").to_pylist(), got.column("raw").to_pylist()):
+                out[i] = raw
+        return out
+
+    def split(self, text: str) -> list[str]:
+        """The pattern's matches in the library's eyes; they make up the whole text."""
+        if text.isascii() or self.odd.isdisjoint(text):
+            return self.words.findall(text)
+        return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.unlike))]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, as little-endian unsigned 32-bit integers."""
+        out = list(map(self.recent.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        raws = [words[i].encode("utf-8", "replace") for i in new]
+        ranks = [self.ranks.get(r) for r in raws]
+        hard = iter(self.contracted([r for r, rank in zip(raws, ranks) if rank is None and len(r) <= QUERY_BYTES]))
+        for i, r, rank in zip(new, raws, ranks):
+            out[i] = rank.to_bytes(4, "little") if rank is not None else next(hard) if len(r) <= QUERY_BYTES else np.array(contract(r, self.ranks), "<u4").tobytes()
+            self.recent.put(words[i], out[i])
+        return out
+
+    def encode_block(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        cut = [self.split(t) for t in texts]
+        places = dict(zip(dict.fromkeys(chain.from_iterable(cut)), count()))
+        if not places:
+            return [b""] * len(texts)
+        at = np.fromiter(map(places.__getitem__, chain.from_iterable(cut)), np.int64)
+        ends = np.concatenate(([0], np.cumsum([len(c) for c in cut])))
+        taken = pa.array(self.of_words(list(places)), pa.binary()).take(pa.array(at))
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[ends + taken.offset].tolist()
+        data = memoryview(taken.buffers()[2])
+        return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; longer ones than a block are encoded by parts."""
+        parts = [p for t in texts for p in parts_of(t)]
+        got: list[bytes] = []
+        for i, j in _blocks(parts):
+            got += self.encode_block(parts[i:j])
+        if len(parts) == len(texts):
+            return got
+        own = iter(got)
+        return [b"".join(next(own) for _ in parts_of(t)) for t in texts]
+
+
+def parts_of(text: str, most: int | None = None) -> list[str]:
+    """The text, cut at boundaries into parts of about ``most`` characters (BLOCK); a run without a
+    boundary is one part."""
+    most = BLOCK if most is None else most
+    out, at = [], 0
+    while len(text) - at > most and (m := BOUNDARY.search(text, at + most)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]] if at else [text]
+
+
+def _blocks(texts: list[str], most: int | None = None) -> Iterator[tuple[int, int]]:
+    most = BLOCK if most is None else most
     start = size = 0
     for i, t in enumerate(texts):
         if i > start and size + len(t) > most:
@@ -265,13 +283,16 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     fields = [docs.schema[id_col], T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.BinaryType())] if decode else [])]
     out = T.StructType(fields)
 
+    unlike = stand_ins()
+
     def run(batches):
-        coder = Coder.get(ranks, pattern)
+        coder = Coder.get(ranks, pattern, unlike)
         for b in batches:
             texts = [raw.decode("utf-8", "replace") for raw in b.column(1).to_pylist()]
             for i, j in _blocks(texts):
-                got = coder.encode_arrays(texts[i:j])[: len(fields) - 1]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *got], names=out.names)
+                got = coder.encode_texts(texts[i:j])
+                more = [coder.decoded(got)] if decode else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(x, pa.binary()) for x in (got, *more))], names=out.names)
 
     return docs.select(F.col(id_col), utf8(text_col).alias("_raw")).mapInArrow(run, out)
 
@@ -280,12 +301,11 @@ def decode(rows: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "
     """(id, decoded): the bytes of ids given as little-endian unsigned 32-bit integers; none for null."""
     out = T.StructType([rows.schema[id_col], T.StructField("decoded", T.BinaryType())])
 
+    unlike = stand_ins()
+
     def run(batches):
-        coder = Coder.get(ranks)
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                texts = coder.decoded(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=out.names)
+        coder = Coder.get(ranks, None, unlike)
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coder.decoded(b.column(1).to_pylist()), pa.binary())], names=out.names)
 
     return rows.select(F.col(id_col), F.coalesce(F.col(ids_col), F.lit(b"")).alias("_ids")).mapInArrow(run, out)
