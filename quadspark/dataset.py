@@ -12,19 +12,21 @@ from quadspark.functions.terms import DEFAULT_GRAPH
 from quadspark.operators import pattern as pt
 from quadspark.operators import store as st
 from quadspark.sources.snapshots import SCHEMA, Snapshots
-from quadspark.txn import Mode, Txn, Type
+from quadspark.txn import Mode, Promote, Txn, TxnError, Type
 
 Row = tuple[str, str, str, str]
 
 
 class Dataset:
     """Quads in snapshots below ``path``. Single quads are buffered on the driver until commit;
-    tables are added and removed as DataFrames."""
+    tables are added and removed as DataFrames. A commit writes what it changes; one that makes a
+    generation of more than ``compact_at`` folders is followed by one that compacts them."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, compact_at: int = 64):
         self.spark = spark
         self.snapshots = Snapshots(spark, path)
-        self.txn = Txn(begin=self._begin, commit=self._commit, abort=self._forget, end=self._forget, generation=self.snapshots.generation)
+        self.txn = Txn(begin=self._begin, commit=self._commit, abort=self._forget, end=self._forget, generation=self.snapshots.generation, name=path)
+        self.compact_at = compact_at
         self._prefixes: dict[str, str] = {}
         self._own = threading.local()
 
@@ -58,8 +60,8 @@ class Dataset:
     def begin(self, kind: Type = Type.READ_PROMOTE) -> None:
         self.txn.begin(kind)
 
-    def promote(self) -> bool:
-        return self.txn.promote()
+    def promote(self, how: Promote | None = None) -> bool:
+        return self.txn.promote(how)
 
     def commit(self) -> None:
         self.txn.commit()
@@ -92,13 +94,25 @@ class Dataset:
     def _commit(self) -> None:
         self._flush()
         since = self.txn.pinned
-        if self._changes and all(add for add, _ in self._changes):
-            new = reduce(DataFrame.unionByName, [x for _, x in self._changes])
-            self.snapshots.commit(st.additions(self.snapshots.read(since), new), since, appended=True)
-        elif self._changes:
-            self.snapshots.commit(self._seen(), since)
+        if self._changes:
+            self.snapshots.commit(*self._net(since))
+            if self.snapshots.folders(since + 1) > self.compact_at:
+                self.snapshots.compact(since + 1)
         self._forget()
 
+    def _net(self, since: int) -> tuple[DataFrame | None, int, bool, DataFrame | None]:
+        """What to commit: quads that are new to the snapshot, and quads of it that go. Of several
+        changes of one quad the last holds."""
+        was = self.snapshots.read(since)
+        if all(add for add, _ in self._changes):
+            return st.additions(was, reduce(DataFrame.unionByName, [x for _, x in self._changes])), since, True, None
+        if not any(add for add, _ in self._changes):
+            gone = st.normalised(reduce(DataFrame.unionByName, [x for _, x in self._changes])).dropDuplicates(pt.POSITIONS)
+            return None, since, True, gone.join(was, pt.POSITIONS, "left_semi")
+        each = [st.normalised(x).withColumns({"_n": F.lit(n), "_add": F.lit(add)}) for n, (add, x) in enumerate(self._changes)]
+        last = reduce(DataFrame.unionByName, each).groupBy(*pt.POSITIONS).agg(F.max_by("_add", "_n").alias("_add"))
+        return last.where("_add").select(*pt.POSITIONS).join(was, pt.POSITIONS, "left_anti"), since, True, last.where("not _add").select(*pt.POSITIONS).join(was, pt.POSITIONS, "left_semi")
+
     def _seen(self) -> DataFrame:
         """The pinned snapshot with this transaction's changes in their order."""
         now = self.snapshots.read(self.txn.pinned)
@@ -109,6 +123,17 @@ class Dataset:
         return now
 
     # -- quads
+    def compact(self) -> None:
+        """The same quads in one folder, as a generation of its own."""
+        with self.txn.within(Mode.WRITE):
+            if self._changes or self._buffer:
+                raise TxnError("a transaction that has changed quads cannot compact them")
+            self.snapshots.compact(self.txn.pinned)
+
+    def vacuum(self, keep: int = 1, older_than: float = 24 * 3600) -> int:
+        """Remove old generations and what no kept one names; see Snapshots.vacuum."""
+        return self.snapshots.vacuum(keep, older_than)
+
     def quads(self) -> DataFrame:
         """All quads, as this transaction sees them."""
         with self.txn.within(Mode.READ):
@@ -156,6 +181,23 @@ class Dataset:
     def delete_from_named_graph(self, g: str, s: str, p: str, o: str) -> None:
         self.delete(g, s, p, o)
 
+    def add_graph(self, g: str, triples: DataFrame) -> None:
+        """Add a whole graph (s, p, o) under this name to what the graph holds."""
+        self.add_all(triples.select(F.lit(pt.graph_name(g)).alias("g"), "s", "p", "o"))
+
+    def set_graph(self, g: str, triples: DataFrame) -> None:
+        """The graph of this name holds these triples and no others."""
+        with self.txn.within(Mode.WRITE):
+            self.remove(g=g)
+            self.add_graph(g, triples)
+
+    def remove_graph(self, g: str) -> None:
+        self.remove(g=g)
+
+    def contains_graph(self, g: str) -> bool:
+        """Whether a graph has triples; the default graph is always there."""
+        return pt.graph_name(g) == DEFAULT_GRAPH or self.contains(g=g)
+
     def find(self, g=None, s=None, p=None, o=None) -> DataFrame:
         return pt.find(self.quads(), g, s, p, o)
 
