@@ -39,8 +39,18 @@ def by_lang(dictionary: DataFrame) -> DataFrame:
 
 
 def by_number(dictionary: DataFrame) -> DataFrame:
-    """(item, id): values of numeric literals, of whatever form and datatype."""
-    return dictionary.select(t.number_key(F.col("term")).alias("item"), F.col("term_id").alias("id")).where("item is not null")
+    """(item, id): values of numeric literals, of whatever form and datatype. Terms that cannot be one
+    are left out first; the generator keeps the key from being computed for the filter and again."""
+    keyed = F.array(F.struct(t.number_key(F.col("term")).alias("item"), F.col("term_id").alias("id")))
+    own = dictionary.where(t.maybe_number(F.col("term")))
+    return own.select(F.inline(F.filter(keyed, lambda x: x["item"].isNotNull())))
+
+
+def find_by_index(encoded: DataFrame, index: DataFrame, item: str, position: str = "o") -> DataFrame:
+    """Encoded quads whose term of a position has this item in a stored index: no term is read or parsed.
+    An item has few ids against the quads', but no bound, so the planner chooses how to join."""
+    ids = get(index, item).select(F.col("id").alias(f"{position}_id")).distinct()
+    return encoded.join(ids, f"{position}_id", "left_semi").select(*encoded.columns)
 
 
 def find_by_lang(quads: DataFrame, lang: str) -> DataFrame:
@@ -50,4 +60,4 @@ def find_by_lang(quads: DataFrame, lang: str) -> DataFrame:
 
 def find_by_number(quads: DataFrame, value: str) -> DataFrame:
     """Quads whose object has this numeric value, given in any decimal notation."""
-    return quads.where(t.number_key(F.col("o")) == t.decimal_key(F.lit(value)))
+    return quads.where(t.maybe_number(F.col("o")) & (t.number_key(F.col("o")) == t.decimal_key(F.lit(value))))
