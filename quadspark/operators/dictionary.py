@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadspark.functions import terms as t
 from quadspark.operators.pattern import POSITIONS
+from quadspark.plans.lineage import stored
 from quadspark.plans.numbering import numbered
 
 ENCODED = ["g_id", "s_id", "p_id", "o_id"]
+#: Terms of graphs and predicates that are broadcast at most.
+FEW = 100_000
 
 
 def used_terms(quads: DataFrame) -> DataFrame:
@@ -47,20 +52,34 @@ def by_id(dictionary: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("term_id").join(dictionary.select("term_id", "term"), "term_id")
 
 
+def few_keys(rows: DataFrame, columns: list[str], dictionary: DataFrame, key: str) -> DataFrame:
+    """The part of the dictionary that these columns name, to be broadcast if it has at most FEW rows."""
+    named = reduce(DataFrame.unionByName, [rows.select(F.col(c).alias(key)).distinct() for c in columns]).distinct()
+    part = stored(dictionary.join(named, key, "left_semi").select("term", "term_id"))
+    return F.broadcast(part) if part.count() <= FEW else part
+
+
+def translated(rows: DataFrame, dictionary: DataFrame, pairs: list[tuple[str, str]], key: str, value: str) -> DataFrame:
+    """``rows`` with a new column for each old one, looked up. Graphs and predicates are few but each is
+    in very many rows: their part of the dictionary goes to the rows. Subjects and objects are shuffled,
+    where adaptive execution splits what a frequent term makes too large."""
+    small = [old for old, _ in pairs if old[0] in "gp"]
+    few = few_keys(rows, small, dictionary, key) if small else None
+    for old, new in pairs:
+        by = few if old in small else dictionary
+        rows = rows.join(by.select(F.col(key).alias(old), F.col(value).alias(new)), old)
+    return rows
+
+
 def encode(quads: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(g_id, s_id, p_id, o_id); looks terms up, never registers them."""
-    out = quads.select(*POSITIONS)
-    for c in POSITIONS:
-        out = out.join(dictionary.select(F.col("term").alias(c), F.col("term_id").alias(f"{c}_id")), c)
-    return out.select(*ENCODED)
+    return translated(quads.select(*POSITIONS), dictionary, list(zip(POSITIONS, ENCODED)), "term", "term_id").select(*ENCODED)
 
 
 def decode(encoded: DataFrame, dictionary: DataFrame, positions: list[str] | None = None) -> DataFrame:
     """Terms of encoded quads; as triples with positions s, p, o."""
     positions = POSITIONS if positions is None else positions
-    out = encoded
-    for c in positions:
-        out = out.join(dictionary.select(F.col("term_id").alias(f"{c}_id"), F.col("term").alias(c)), f"{c}_id")
+    out = translated(encoded, dictionary, [(f"{c}_id", c) for c in positions], "term_id", "term")
     return out.select(*[c for c in encoded.columns if c not in ENCODED], *positions)
 
 
@@ -103,3 +122,10 @@ def page_size(n: int) -> int:
     if root > 2**31 - 1:
         raise ValueError(f"{n} is too large")
     return root
+
+
+def page_sizes(n: Column) -> Column:
+    """page_size of a column of whole numbers that are not negative, exact also where doubles are not."""
+    root = F.floor(F.sqrt(n.cast("double")))
+    low = F.when(root * root > n, root - 1).otherwise(root)
+    return F.when(low * low >= n, low).otherwise(low + 1).cast("bigint")

@@ -55,16 +55,26 @@ def graph_sizes(quads: DataFrame) -> DataFrame:
 
 
 # -- values by id: (id BIGINT, payload) ---------------------------------------------------------
+#: The largest id of a list: so many pages of so many values.
+MAX_ID = (2**31 - 1) ** 2 - 1
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """The rows; an error if an id is negative or beyond MAX_ID."""
+    bad = (F.col("id") < 0) | (F.col("id") > F.lit(MAX_ID))
+    return rows.withColumn("id", F.when(bad, F.raise_error(F.concat(F.lit("list id out of range: "), F.col("id").cast("string"))).cast("bigint")).otherwise(F.col("id")))
+
+
 def append(rows: DataFrame, values: DataFrame, order: list[str]) -> DataFrame:
     """``values`` behind the largest id that was ever used, in this order."""
     last = rows.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("n")).first()["n"]
     new = numbered(values, order, "_n").withColumn("id", F.col("_n") + F.lit(last + 1))
-    return rows.unionByName(new.select(*rows.columns))
+    return rows.unionByName(checked(new).select(*rows.columns))
 
 
 def upsert(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` take the place of those of the same id."""
-    return rows.join(new.select("id"), "id", "left_anti").select(*rows.columns).unionByName(new.select(*rows.columns))
+    return rows.join(new.select("id"), "id", "left_anti").select(*rows.columns).unionByName(checked(new).select(*rows.columns))
 
 
 def remove(rows: DataFrame, ids: DataFrame) -> DataFrame:

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, partition by partition as they are now, written below spark.checkpoint.dir. A local
-    session without that setting gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder below spark.checkpoint.dir that the session checkpoints to. A local session without
+    that setting gets a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quadspark-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, partition by partition as they are now, written below spark.checkpoint.dir."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

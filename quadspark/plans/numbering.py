@@ -23,7 +23,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     for p in sorted(counts):
         starts.append((p, total))
         total += counts[p]
-    if not starts:
-        return kept.withColumn(name, F.lit(0).cast("bigint"))
-    first = F.create_map(*[F.lit(x).cast("bigint") for pair in starts for x in pair])
-    return kept.withColumn(name, F.element_at(first, part.cast("bigint")) + place)
+    # a row for each partition, which is far less than what any of them holds
+    first = F.broadcast(spark.createDataFrame(starts, "_p int, _first long"))
+    placed = kept.select("*", part.alias("_p"), place.alias("_place")).join(first, "_p")
+    return placed.select(*kept.columns, (F.col("_first") + F.col("_place")).alias(name))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import partial
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadspark.dataset import Dataset
 from quadspark.functions import terms as t
 from quadspark.operators import bitmap as bm
 from quadspark.operators import dictionary as dc
@@ -16,6 +17,7 @@ from quadspark.operators import index as ix
 from quadspark.operators import pattern as pt
 from quadspark.operators import store as st
 from quadspark.plans import bgp
+from quadspark.plans.lineage import shared_dir
 from quadspark.sources import mapping as mp
 from quadspark.sources import nquads as nq
 
@@ -55,14 +57,11 @@ def _sql_quads(tables: list[mp.Table]) -> str:
     )
 
 
-Q = f"Q AS (\n  {_sql_quads(mp.CATALOG)}\n)"
-#: Small enough for queries that build a dictionary and bitmaps several times.
-SMALL = [x for x in mp.CATALOG if x.name in ("region", "nation", "customer", "supplier")]
-QS = f"Q AS (\n  {_sql_quads(SMALL)}\n)"
+Q = f"Q AS MATERIALIZED (\n  {_sql_quads(mp.CATALOG)}\n)"
 QT = f"Q AS (\n  {_sql_quads(mp.TEXTS)}\n)"
-TERMS = "T AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM (SELECT DISTINCT unnest([g, s, p, o]) AS term FROM Q))"
-ENC = """E AS (SELECT tg.term_id AS g_id, ts.term_id AS s_id, tp.term_id AS p_id, tt.term_id AS o_id FROM Q JOIN T tg ON tg.term = g JOIN T ts ON ts.term = s JOIN T tp ON tp.term = p JOIN T tt ON tt.term = o),
-I AS (SELECT *, row_number() OVER (ORDER BY g_id, s_id, p_id, o_id) - 1 AS quad_id FROM E)"""
+TERMS = "T AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM (SELECT DISTINCT unnest([g, s, p, o]) AS term FROM Q))"
+ENC = """E AS MATERIALIZED (SELECT tg.term_id AS g_id, ts.term_id AS s_id, tp.term_id AS p_id, tt.term_id AS o_id FROM Q JOIN T tg ON tg.term = g JOIN T ts ON ts.term = s JOIN T tp ON tp.term = p JOIN T tt ON tt.term = o),
+I AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY g_id, s_id, p_id, o_id) - 1 AS quad_id FROM E)"""
 
 
 def _mask(c: str) -> str:
@@ -89,9 +88,9 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return mp.quads(spark, d, mp.TEXTS)
 
 
-def coded(spark: SparkSession, d: str, tables: list[mp.Table]) -> tuple[DataFrame, DataFrame]:
+def coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The dictionary of the tables' quads, and those encoded with ids; both are stored."""
-    q = mp.quads(spark, d, tables)
+    q = quads(spark, d)
     dictionary = dc.build(q)
     return dictionary, dc.with_quad_ids(dc.encode(q, dictionary))
 
@@ -112,7 +111,7 @@ def _shape(bound: tuple[str, ...]) -> Spec:
         terms |= {"g": "<urn:g:nation>"} if "g" in bound else {}
         terms |= {"p": NATION_REGION} if "p" in bound else {}
     where = " AND ".join(f"{c} = '{x}'" for c, x in terms.items()) or "true"
-    return (lambda s, d: pt.find(quads(s, d), **terms)), f"WITH {Q} SELECT g, s, p, o FROM Q WHERE {where}"
+    return (lambda s, d: mp.find(s, d, **terms)), f"WITH {Q} SELECT g, s, p, o FROM Q WHERE {where}"
 
 
 for _bound in product([False, True], repeat=4):
@@ -270,11 +269,11 @@ def term_dictionary(s, d):
     return dc.build(quads(s, d))
 
 
-@add("term_lookup", f"WITH {QS}, {TERMS}, A AS (SELECT '<urn:nation/' || n_nationkey || '>' AS term FROM nation UNION ALL SELECT '<urn:x/' || r_regionkey || '>' FROM region) SELECT A.term, coalesce(T.term_id, -1) AS term_id FROM A LEFT JOIN T ON A.term = T.term")
-def term_lookup(s, d, tables=SMALL):
+@add("term_lookup", f"WITH {Q}, {TERMS}, A AS (SELECT '<urn:nation/' || n_nationkey || '>' AS term FROM nation UNION ALL SELECT '<urn:x/' || r_regionkey || '>' FROM region) SELECT A.term, coalesce(T.term_id, -1) AS term_id FROM A LEFT JOIN T ON A.term = T.term")
+def term_lookup(s, d):
     known = s.read.parquet(f"{d}/nation.parquet").select(t.iri(F.concat(F.lit("urn:nation/"), F.col("n_nationkey").cast("string"))).alias("term"))
     not_known = s.read.parquet(f"{d}/region.parquet").select(t.iri(F.concat(F.lit("urn:x/"), F.col("r_regionkey").cast("string"))).alias("term"))
-    return dc.lookup(dc.build(mp.quads(s, d, tables)), known.unionByName(not_known))
+    return dc.lookup(dc.build(quads(s, d)), known.unionByName(not_known))
 
 
 @add(
@@ -288,7 +287,7 @@ def term_canonical(s, d):
     return every.groupBy(t.kind(F.col("term")).alias("kind"), t.datatype(F.col("term")).alias("datatype")).agg(F.count("*").alias("n"), F.min("term").alias("first_term"))
 
 
-_REGISTER = f"""WITH {QS}, {TERMS}, V AS (SELECT DISTINCT '<urn:nation/' || n_nationkey || '>' AS term FROM nation UNION SELECT '<urn:new/' || p_partkey || '>' FROM part),
+_REGISTER = f"""WITH {Q}, {TERMS}, V AS (SELECT DISTINCT '<urn:nation/' || n_nationkey || '>' AS term FROM nation UNION SELECT '<urn:new/' || p_partkey || '>' FROM part),
   N AS (SELECT term, row_number() OVER (ORDER BY term) - 1 + (SELECT max(term_id) + 1 FROM T) AS term_id FROM V WHERE term NOT IN (SELECT term FROM T))
 """
 
@@ -299,18 +298,18 @@ def _values(s, d):
 
 
 @add("store_register_result", _REGISTER + "SELECT V.term, T.term IS NOT NULL AS existed, coalesce(T.term_id, N.term_id) AS term_id, T.term IS NULL AS was_added FROM V LEFT JOIN T ON V.term = T.term LEFT JOIN N ON V.term = N.term")
-def store_register_result(s, d, tables=SMALL):
-    return dc.register_result(dc.build(mp.quads(s, d, tables)), _values(s, d))
+def store_register_result(s, d):
+    return dc.register_result(dc.build(quads(s, d)), _values(s, d))
 
 
 @add("store_delete_result", _REGISTER + "SELECT V.term, T.term IS NOT NULL AS existed, coalesce(T.term_id, -1) AS term_id FROM V LEFT JOIN T ON V.term = T.term")
-def store_delete_result(s, d, tables=SMALL):
-    return dc.delete_result(dc.build(mp.quads(s, d, tables)), _values(s, d))
+def store_delete_result(s, d):
+    return dc.delete_result(dc.build(quads(s, d)), _values(s, d))
 
 
 @add("store_contains", _REGISTER + "SELECT V.term FROM V WHERE term IN (SELECT term FROM T)")
-def store_contains(s, d, tables=SMALL):
-    return dc.contains(dc.build(mp.quads(s, d, tables)), _values(s, d))
+def store_contains(s, d):
+    return dc.contains(dc.build(quads(s, d)), _values(s, d))
 
 
 @add("encode_quads", f"WITH {Q}, {TERMS}, {ENC} SELECT g_id, s_id, p_id, o_id FROM E")
@@ -319,21 +318,21 @@ def encode_quads(s, d):
     return dc.encode(q, dc.build(q))
 
 
-@add("decode_quads", f"WITH {QS}, {TERMS}, {ENC} SELECT quad_id, tg.term AS g, ts.term AS s, tp.term AS p, tt.term AS o FROM I JOIN T tg ON tg.term_id = g_id JOIN T ts ON ts.term_id = s_id JOIN T tp ON tp.term_id = p_id JOIN T tt ON tt.term_id = o_id")
-def decode_quads(s, d, tables=SMALL):
-    dictionary, e = coded(s, d, tables)
+@add("decode_quads", f"WITH {Q}, {TERMS}, {ENC} SELECT quad_id, tg.term AS g, ts.term AS s, tp.term AS p, tt.term AS o FROM I JOIN T tg ON tg.term_id = g_id JOIN T ts ON ts.term_id = s_id JOIN T tp ON tp.term_id = p_id JOIN T tt ON tt.term_id = o_id")
+def decode_quads(s, d):
+    dictionary, e = coded(s, d)
     return dc.decode(e, dictionary)
 
 
-@add("decode_triples", f"WITH {QS} SELECT s, p, o FROM Q")
-def decode_triples(s, d, tables=SMALL):
-    dictionary, e = coded(s, d, tables)
+@add("decode_triples", f"WITH {Q} SELECT s, p, o FROM Q")
+def decode_triples(s, d):
+    dictionary, e = coded(s, d)
     return dc.decode(e.drop("quad_id"), dictionary, ["s", "p", "o"])
 
 
-@add("quad_by_id", f"WITH {QS}, {TERMS}, {ENC} SELECT quad_id, g_id, s_id, p_id, o_id FROM I WHERE quad_id IN (SELECT n_nationkey * 7 FROM nation UNION SELECT 100000000)")
-def quad_by_id(s, d, tables=SMALL):
-    _, e = coded(s, d, tables)
+@add("quad_by_id", f"WITH {Q}, {TERMS}, {ENC} SELECT quad_id, g_id, s_id, p_id, o_id FROM I WHERE quad_id IN (SELECT n_nationkey * 7 FROM nation UNION SELECT 100000000)")
+def quad_by_id(s, d):
+    _, e = coded(s, d)
     ids = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") * 7).cast("bigint").alias("quad_id")).unionByName(s.range(1).select(F.lit(100000000).cast("bigint").alias("quad_id")))
     return dc.quads_by_id(e, ids).select("quad_id", *dc.ENCODED)
 
@@ -415,28 +414,22 @@ def bitmap_higher_page(s, d):
 
 @add(
     "postings",
-    f"WITH {QS}, {TERMS}, {ENC}, L AS (SELECT 'g' AS pos, g_id AS term_id, quad_id FROM I UNION ALL SELECT 's', s_id, quad_id FROM I UNION ALL SELECT 'p', p_id, quad_id FROM I UNION ALL SELECT 'o', o_id, quad_id FROM I) "
+    f"WITH {Q}, {TERMS}, {ENC}, L AS (SELECT 'g' AS pos, g_id AS term_id, quad_id FROM I UNION ALL SELECT 's', s_id, quad_id FROM I UNION ALL SELECT 'p', p_id, quad_id FROM I UNION ALL SELECT 'o', o_id, quad_id FROM I) "
     f"SELECT pos, term_id, quad_id // 64 AS page, bit_or({_mask('quad_id')}) AS bits FROM L GROUP BY 1, 2, 3",
 )
-def postings(s, d, tables=SMALL):
-    return bm.posting_lists(coded(s, d, tables)[1])
+def postings(s, d):
+    return bm.posting_lists(coded(s, d)[1])
 
 
-@add("find_via_bitmap", f"WITH {QS} SELECT g, s, p, o FROM Q WHERE g = '<urn:g:customer>' AND p = '{CUSTOMER_NATION}' AND o = '<urn:nation/7>'")
-def find_via_bitmap(s, d, tables=SMALL):
-    dictionary, e = coded(s, d, tables)
+@add("find_via_bitmap", f"WITH {Q} SELECT g, s, p, o FROM Q WHERE g = '<urn:g:customer>' AND p = '{CUSTOMER_NATION}' AND o = '<urn:nation/7>'")
+def find_via_bitmap(s, d):
+    dictionary, e = coded(s, d)
     terms = {"g": "<urn:g:customer>", "p": CUSTOMER_NATION, "o": "<urn:nation/7>"}
     known = {r["term"]: r["term_id"] for r in dictionary.where(F.col("term").isin(list(terms.values()))).collect()}
     hits = bm.find(e, bm.posting_lists(e), {c: known.get(x, -1) for c, x in terms.items()})
     return dc.decode(hits.drop("quad_id"), dictionary)
 
 
-# -- the same over all mapped tables, orders and parts too ---------------------------------------
-for _name in ("term_lookup", "store_register_result", "store_delete_result", "store_contains", "decode_quads", "decode_triples", "quad_by_id", "postings", "find_via_bitmap"):
-    _query, _sql = SPECS[_name]
-    SPECS[f"{_name}_whole"] = (partial(_query, tables=mp.CATALOG), _sql.replace(QS, Q))
-
-
 # -- indexes ------------------------------------------------------------------------------------
 @add("lang_index", f"WITH {QT}, T AS (SELECT DISTINCT o FROM Q) SELECT regexp_extract(o, '(?s)^\".*\"@([A-Za-z0-9-]+)$', 1) AS item, count(*) AS n FROM T WHERE regexp_matches(o, '(?s)^\".*\"@([A-Za-z0-9-]+)$') GROUP BY 1")
 def lang_index(s, d):
@@ -496,7 +489,7 @@ def index_register(s, d):
 
 @add("page_size", "SELECT p_partkey AS n, ceil(sqrt(p_partkey))::BIGINT AS page_size FROM part")
 def page_size(s, d):
-    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n"), F.ceil(F.sqrt("p_partkey")).alias("page_size"))
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n"), dc.page_sizes(F.col("p_partkey")).alias("page_size"))
 
 
 # -- text, and the algebra over patterns --------------------------------------------------------
@@ -524,6 +517,76 @@ def bgp_optional_minus(s, d):
     return got.groupBy("n", "name").agg(F.count("x").alias("suppliers"))
 
 
+@add("bgp_optional_disjoint", f"WITH {Q} SELECT r, name, CAST(NULL AS VARCHAR) AS missing FROM (SELECT s AS r, o AS name FROM Q WHERE p = '<urn:region#r_name>')")
+def bgp_optional_disjoint(s, d):
+    q = quads(s, d)
+    return bgp.optional(bgp.solutions(q, (None, "?r", "<urn:region#r_name>", "?name")), bgp.solutions(q, (None, None, "<urn:none>", "?missing")))
+
+
+@add(
+    "nquads_escapes",
+    """SELECT '<urn:x-quadspark:default>' AS g, '<urn:part/' || p_partkey || '>' AS s, '<urn:caf' || chr(233) || '>' AS p,
+    '"caf' || chr(233) || ' ' || chr(128512) || chr(9) || chr(8) || chr(12) || chr(39) || '\\"\\n' || p_brand || '"@en' AS o FROM part WHERE p_brand IS NOT NULL""",
+)
+def nquads_escapes(s, d):
+    part = s.read.parquet(f"{d}/part.parquet").where("p_brand is not null")
+    text = F.concat(F.lit('"caf\\u00e9 \\U0001F600\\t\\b\\f\\\'\\"\\n'), "p_brand", F.lit('"@en .'))
+    lines = part.select(F.concat(F.lit("<urn:part/"), F.col("p_partkey").cast("string"), F.lit("> <urn:caf\\u00E9> "), text).alias("value"))
+    return nq.parsed(lines).select("g", "s", "p", "o")
+
+
+@add("find_by_stored_number", f"WITH {Q} SELECT g, s, p, o FROM Q WHERE o IN ('\"10\"', '\"10\"^^<{t.XSD}integer>', '\"10.0\"^^<{t.XSD}double>')")
+def find_by_stored_number(s, d):
+    dictionary, e = coded(s, d)
+    return dc.decode(ix.find_by_index(e.drop("quad_id"), ix.by_number(dictionary), "1E1"), dictionary)
+
+
+# -- datasets, end to end -------------------------------------------------------------------------
+def _store(s: SparkSession) -> Dataset:
+    return Dataset(s, f"{shared_dir(s)}/stores/{uuid.uuid4().hex}")
+
+
+@add("dataset_delete_and_find", f"WITH {Q} SELECT g, s, p, o FROM Q WHERE NOT (p = '{SEGMENT}') AND g <> '<urn:g:orders>' UNION ALL SELECT g, s, p, o FROM Q WHERE p = '{SEGMENT}' AND o = '\"BUILDING\"'")
+def dataset_delete_and_find(s, d):
+    q, store = quads(s, d), _store(s)
+    store.add_all(q)
+    store.remove(p=SEGMENT)
+    store.clear("<urn:g:orders>")
+    store.add_all(pt.find(q, p=SEGMENT, o='"BUILDING"'))
+    return store.find()
+
+
+@add("dataset_promote", f"WITH {Q} SELECT s, p, o FROM Q WHERE g = '<urn:g:nation>' AND p = '{NATION_NAME}' UNION ALL SELECT '<urn:new>', '<urn:p>', '\"x\"'")
+def dataset_promote(s, d):
+    store = _store(s)
+    store.add_all(quads(s, d))
+    store.begin()
+    if not store.promote():
+        raise RuntimeError("nobody else has committed")
+    store.graph("<urn:g:nation>").remove(p=NATION_REGION)
+    store.graph("<urn:g:nation>").add("<urn:new>", "<urn:p>", '"x"')
+    store.commit()
+    return store.graph("<urn:g:nation>").find()
+
+
+@add("dataset_compact", f"WITH {Q} SELECT g, s, p, o FROM Q WHERE NOT (p = '{BUYER}')")
+def dataset_compact(s, d):
+    store = _store(s)
+    store.add_all(quads(s, d))
+    store.remove(p=BUYER)
+    store.compact()
+    store.vacuum(older_than=0)
+    return store.find()
+
+
+@add("dataset_set_graph", f"WITH {Q} SELECT g, s, p, o FROM Q WHERE g <> '<urn:g:nation>' UNION ALL SELECT '<urn:g:nation>', s, p, o FROM Q WHERE g = '<urn:g:supplier>'")
+def dataset_set_graph(s, d):
+    q, store = quads(s, d), _store(s)
+    store.add_all(q)
+    store.set_graph("<urn:g:nation>", pt.as_triples(pt.find(q, "<urn:g:supplier>")))
+    return store.find()
+
+
 # -- the driver's view --------------------------------------------------------------------------
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments by region, by a basic graph pattern."""

@@ -73,3 +73,45 @@ def quads(spark: SparkSession, sf_dir: str, tables: list[Table] | None = None) -
         rows = spark.read.parquet(f"{sf_dir}/{table.name}.parquet")
         out += [branch(rows, table, c) for c in table.columns]
     return reduce(DataFrame.unionByName, out)
+
+
+def _key_of(term: str, table: str) -> str | None:
+    """The key in a subject's IRI, None if it is no subject of this table."""
+    head = f"<urn:{table}/"
+    return term[len(head) : -1] if term.startswith(head) and term.endswith(">") else None
+
+
+def _equals(rows: DataFrame, column: str, text: str) -> Column:
+    """Whether a column reads as this text, as a comparison of the column's own type that a scan can take."""
+    kind = rows.schema[column].dataType
+    return (F.col(column) == F.lit(text).try_cast(kind)) & (F.col(column).cast("string") == F.lit(text))
+
+
+def find(spark: SparkSession, sf_dir: str, g: str | None = None, s: str | None = None, p: str | None = None, o: str | None = None, tables: list[Table] | None = None) -> DataFrame:
+    """The tables' quads that match a pattern, planned from it: only tables and columns that can match are
+    read, each table once, and bound subjects, references and plain texts become comparisons with columns,
+    which reach the scan."""
+    out = []
+    for table in CATALOG if tables is None else tables:
+        columns = {c: how for c, how in table.columns.items() if p is None or p == f"<urn:{table.name}#{c}>"}
+        if o is not None:
+            columns = {c: how for c, how in columns.items() if (_key_of(o, how[1:]) is not None if how.startswith("/") else o.startswith('"'))}
+        key = None if s is None else _key_of(s, table.name)
+        if not columns or (g is not None and g != table.graph) or (s is not None and key is None):
+            continue
+        rows = spark.read.parquet(f"{sf_dir}/{table.name}.parquet")
+        if key is not None:
+            rows = rows.where(_equals(rows, table.key, key))
+        if len(columns) == 1:
+            ((c, how),) = columns.items()
+            if o is not None and how.startswith("/"):
+                rows = rows.where(_equals(rows, c, _key_of(o, how[1:])))
+            elif o is not None and how == "string" and "\\" not in o:
+                rows = rows.where(F.col(c) == F.lit(o[1:-1]))
+            found = branch(rows, table, c)
+        else:
+            subject = t.iri(F.concat(F.lit(f"urn:{table.name}/"), F.col(table.key).cast("string"))).alias("s")
+            each = F.array(*[F.struct(F.lit(f"<urn:{table.name}#{c}>").alias("p"), object_of(c, how).alias("o")) for c, how in columns.items()])
+            found = rows.where(F.col(table.key).isNotNull()).select(F.lit(table.graph).alias("g"), subject, F.inline(each)).where("o is not null")
+        out.append(found.where(F.col("o") == F.lit(o)) if o is not None else found)
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "g string, s string, p string, o string")

@@ -18,7 +18,7 @@ from quadspark.plans.numbering import numbered
 from quadspark.sources import nquads as nq
 from quadspark.sources.snapshots import SCHEMA, Conflict, Snapshots
 from quadspark.streaming.ingest import register_stream
-from quadspark.txn import Mode, Txn, TxnError, Type, and_then
+from quadspark.txn import Mode, Promote, Txn, TxnError, Type, and_then
 
 LAST, MAX = 64 * 4294967295, b.MAX_ID
 
@@ -182,6 +182,35 @@ def test_promotion():
         x.abort()
 
 
+def test_promotion_by_an_explicit_mode():
+    x, _ = counted()
+    for kind, how, want in ((Type.READ_PROMOTE, Promote.READ_COMMITTED, True), (Type.READ_COMMITTED_PROMOTE, Promote.ISOLATED, False), (Type.READ, Promote.READ_COMMITTED, False)):
+        x.begin(kind)
+        th = threading.Thread(target=lambda: [None for _ in [0] for _ in [x.begin(Type.WRITE), x.commit()]])
+        th.start(), th.join()
+        assert x.promote(how) is want
+        x.abort()
+        assert x.id is None
+
+
+def test_a_failing_promotion_leaves_no_lock():
+    calls = iter([0, 0, OSError(), 0, 0])
+
+    def generation():
+        got = next(calls)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    x = Txn(generation=generation)
+    x.begin()
+    with pytest.raises(OSError):
+        x.promote()
+    assert x.mode is Mode.READ
+    x.end()
+    assert x._writer.acquire(blocking=False)
+
+
 def test_failures_leave_no_lock():
     def fail(*_):
         raise OSError
@@ -268,6 +297,69 @@ def test_snapshots_refuse_the_second_writer(spark, tmp_path):
     assert "EqualTo(p,<p>)" in plan and "EqualTo(o,<z>)" in plan
 
 
+@pytest.mark.parametrize("left", ["", '{"folders": [["ad'])
+def test_an_unreadable_entry_locks_nothing(spark, tmp_path, left):
+    s = Snapshots(spark, str(tmp_path / "cut"))
+    q = spark.createDataFrame([("<g>", "<s>", "<p>", "<o>")], SCHEMA)
+    s.commit(q, 0)
+    (tmp_path / "cut/log/2").write_text(left)  # a writer died here
+    for k in (1, 2, 3):
+        s = Snapshots(spark, str(tmp_path / "cut"))
+        assert s.generation() == k and s.commit(q.withColumn("o", F.lit(f"<o{k}>")), k, appended=True) == k + 1
+    assert s.size() == 4
+    with pytest.raises(Conflict):
+        s.commit(q, 1)
+
+
+def test_a_writer_that_dies_before_it_publishes_changes_nothing(spark, tmp_path, monkeypatch):
+    d = Dataset(spark, str(tmp_path / "dies"))
+    d.add("<g>", "<s>", "<p>", "<o>")
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(d.snapshots, "_publish", dies)
+    with pytest.raises(KeyboardInterrupt):
+        d.add("<g>", "<s>", "<p>", "<z>")
+    monkeypatch.undo()
+    assert d.size() == 1
+    d.add("<g>", "<s>", "<p>", "<w>")
+    assert d.size() == 2
+    d.compact()
+    assert d.vacuum(older_than=0) >= 3 and Dataset(spark, str(tmp_path / "dies")).size() == 2 and d.snapshots.folders() == 1
+
+
+def test_deleting_writes_what_is_deleted(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path / "del"), compact_at=6)
+    d.add_all(spark.range(2000).select(F.lit("<g>").alias("g"), F.format_string("<s%d>", "id").alias("s"), F.lit("<p>").alias("p"), F.lit("<o>").alias("o")))
+    d.begin(Type.WRITE)
+    d.delete("<g>", "<s5>", "<p>", "<o>")
+    d.delete("<g>", "<s6>", "<p>", "<o>")
+    d.delete("<g>", "<unknown>", "<p>", "<o>")
+    d.add("<g>", "<s6>", "<p>", "<o>")
+    d.add("<g>", "<new>", "<p>", "<o>")
+    d.commit()
+    kinds = d.snapshots._folders(2)
+    assert [k for k, _ in kinds] == ["add", "del", "add"] and d.snapshots._scan([kinds[1][1]]).count() == 1 and d.snapshots._scan([kinds[2][1]]).count() == 1
+    assert d.size() == 2000 and not d.contains(s="<s5>") and d.contains(s="<s6>")
+    d.add("<g>", "<s5>", "<p>", "<o>")  # added again after its deletion
+    d.remove(s="<new>")
+    assert d.size() == 2000 and d.contains(s="<s5>") and d.snapshots.size(1) == 2000 and d.snapshots.folders() == 5
+    d.remove(s="<s7>")
+    d.remove(s="<s8>")  # beyond six folders they are compacted
+    assert d.snapshots.folders() == 1 and d.size() == 1998
+
+
+def test_whole_graphs(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path / "graphs"))
+    triples = spark.createDataFrame([("<a>", "<b>", "<c>"), ("<a>", "<b>", "<d>")], "s string, p string, o string")
+    d.add_graph("<g>", triples)
+    d.set_graph("<g>", triples.where("o = '<d>'"))
+    assert rows(d.graph("<g>").find()) == [("<a>", "<b>", "<d>")] and d.contains_graph("<g>") and not d.contains_graph("<h>") and d.contains_graph("default")
+    d.remove_graph("<g>")
+    assert d.is_empty()
+
+
 def test_sixteen_shapes_unknown_terms_and_bitmap_agreement(spark):
     quads = [(g, s, p, o) for g in ("<g1>", "<g2>") for s in ("<a>", "<b>") for p in ("<p>", "<q>") for o in ("<a>", '"x"')]
     q = spark.createDataFrame(quads, SCHEMA)
@@ -299,6 +391,13 @@ def test_store_operations(spark):
     assert [dc.page_size(n) for n in (0, 1, 2, 4, 5, 10**12 + 1)] == [0, 1, 2, 2, 3, 1000001]
     with pytest.raises(ValueError):
         dc.page_size(2**63)
+    big = [0, 1, 2, 4, 5, 10**12 + 1, (2**31 - 1) ** 2, (2**31 - 1) ** 2 - 1, (2**30) ** 2 + 1]
+    got = spark.createDataFrame([(n,) for n in big], "n long").select("n", dc.page_sizes(F.col("n")).alias("size")).collect()
+    assert all(r.size == dc.page_size(r.n) for r in got) and len(got) == len(big)
+    for bad in (-1, st.MAX_ID + 1):
+        with pytest.raises(Exception, match="out of range"):
+            st.upsert(values, spark.createDataFrame([(bad, "x")], "id long, v string")).collect()
+    assert st.upsert(values, spark.createDataFrame([(st.MAX_ID, "x")], "id long, v string")).count() == 3
 
 
 def test_dictionary_never_reuses_ids(spark):
@@ -331,6 +430,42 @@ def test_nquads(spark, tmp_path):
     assert nq.read(spark, str(tmp_path / "bad.nq"), strict=False).count() == 0
 
 
+def test_nquads_escapes_are_decoded(spark):
+    line = lambda o: f"<s> <p> {o} <g> ."
+    good = {'"caf\\u00e9"': '"café"', '"\\U0001F600\\uD83D\\uDE00"@en': '"😀😀"@en', '"a\\b\\f\\t\\\'"': '"a\b\f\t\'"', '"\\\\u0041"': '"\\\\u0041"', '"q\\"\\\\\\n\\r"': '"q\\"\\\\\\n\\r"', "<http://x/caf\\u00E9>": "<http://x/café>",
+            '"\\u0022 \\u005c \\u000a"': '"\\" \\\\ \\n"', '"\\u006E"^^<http://x/\\u0041>': '"n"^^<http://x/A>', '"a\x01b"': '"a\x01b"', '"plain"': '"plain"', '"tab\there"': '"tab\there"'}
+    got = nq.parsed(spark.createDataFrame([(line(o),) for o in good], "value string")).collect()
+    assert [(r.bad, r.o) for r in got] == [(None, o) for o in good.values()] and {(r.g, r.s, r.p) for r in got} == {("<g>", "<s>", "<p>")}
+    bad = [line('"\\x"'), line('"\\u12"'), line('"\\U00110000"'), line("<a b>"), line("<a\\n>"), "\x02<s>\x01<p>\x01<o>\x01", "<s> <p> <o> <g> <h> ."]
+    assert all(r.bad is not None and r.s is None for r in nq.parsed(spark.createDataFrame([(x,) for x in bad], "value string")).collect())
+    assert spark.range(1).select(t.lexical(F.lit('"caf\\u00e9\\n"')).alias("x")).first().x == "café\n"
+
+
+def test_optional_without_shared_or_with_unbound_variables(spark):
+    a = spark.createDataFrame([("<1>", "<x>"), ("<2>", None)], "a string, b string")
+    none = spark.createDataFrame([], "c string")
+    assert rows(bgp.optional(a.where("b is not null"), none)) == [("<1>", "<x>", None)]
+    assert bgp.optional(a, spark.createDataFrame([("<c>",), ("<d>",)], "c string")).count() == 4
+    c = spark.createDataFrame([("<x>", "<p>"), ("<y>", "<q>"), (None, "<r>")], "b string, c string")
+    show = lambda df: sorted(map(str, (tuple(r) for r in df.select("a", "b", "c").collect())))
+    want = [("<1>", "<x>", "<p>"), ("<1>", "<x>", "<r>"), ("<2>", "<x>", "<p>"), ("<2>", "<y>", "<q>"), ("<2>", None, "<r>")]
+    assert show(bgp.join(a, c, unbound=["b"])) == sorted(map(str, want)) == show(bgp.optional(a, c, unbound=["b"]))
+    assert show(bgp.optional(a, c.where("b = '<y>'"), unbound=["b"])) == sorted(map(str, [("<1>", "<x>", None), ("<2>", "<y>", "<q>")]))
+
+
+def test_patterns_are_joined_where_they_share_variables():
+    first, far, between = (None, "?a", "<p>", "?b"), (None, "?c", "<q>", "?d"), (None, "?b", "<r>", "?c")
+    assert bgp.connected([first, far, between]) == [first, between, far] and bgp.connected([first, far]) == [first, far]
+
+
+def test_stored_indexes_answer_lookups(spark):
+    q = spark.createDataFrame([("<g>", f"<s{i}>", "<p>", o) for i, o in enumerate(['"10"', f'"10.0"^^<{t.XSD}decimal>', '"ten"@en', '"zehn"@de', "<10>", '"11"'])], SCHEMA)
+    d = dc.build(q)
+    e = dc.encode(q, d)
+    assert {r.s for r in dc.decode(ix.find_by_index(e, ix.by_number(d), "1E1"), d).collect()} == {"<s0>", "<s1>"} == {r.s for r in ix.find_by_number(q, "1e1").collect()}
+    assert {r.s for r in dc.decode(ix.find_by_index(e, ix.by_lang(d), "de"), d).collect()} == {"<s3>"}
+
+
 def test_graph_patterns(spark):
     q = spark.createDataFrame([("<g>", "<a>", "<knows>", "<b>"), ("<g>", "<b>", "<knows>", "<b>"), ("<g>", "<b>", "<name>", '"B"')], SCHEMA)
     assert rows(bgp.bgp(q, [(None, "?x", "<knows>", "?y"), (None, "?y", "<name>", "?n")]).select("x", "n")) == [("<a>", '"B"'), ("<b>", '"B"')]
