@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Largest inner product becomes smallest distance by one more coordinate, sqrt(M - |x|^2) with M the
-largest squared norm (0 for queries). Centroids are fitted by balanced halving on a bounded sample;
-a small graph over them is searched in memory, by vectors to find their lists and by queries to find
-theirs. A vector near a boundary is replicated to every list whose centroid is nearly as near as the
+largest squared norm (0 for queries). Centroids, about half as many as the root of the number of vectors, are fitted by
+balanced halving on a bounded sample. A graph over them is searched in memory with a bounded beam, by
+vectors to find their lists and by queries to find theirs. A vector near a boundary is replicated to every list whose centroid is nearly as near as the
 nearest, unless one chosen before is nearer to that centroid than the vector. A bounded number of the
 queries is compared with all vectors first: a query visits as many lists, or those within such a ratio
 of the nearest, as give these the recall asked for. Lists are searched in blocks of bounded size.
@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quadspark.llm.shared import save
+from quadspark.llm.shared import drop, save
 
-#: The sample that centroids are fitted on, at most, and the numbers of lists.
-SAMPLE, LEAST_LISTS, MOST_LISTS, LIST_ROWS = 16_384, 64, 4096, 1024
+#: The sample that centroids are fitted on, at least and for each list, and the numbers of lists: half the
+#: root of the number of vectors, between these.
+SAMPLE, SAMPLE_LIST, LEAST_LISTS, MOST_LISTS = 16_384, 8, 64, 65_536
 #: Rows of a block of a list, and queries that are compared with it at once.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
-DEGREE = 24
+#: Links of a centroid to its nearest ones, the least beam of a search, centroids that are expanded at
+#: once, centroids that a search starts from, and rows that are searched together.
+DEGREE, BEAM, EXPANDED, STARTS, ROWS = 24, 64, 8, 8, 256
 #: Queries that are compared with all vectors to fit how many lists are visited, at most.
 PROBES = 256
 
@@ -53,78 +56,107 @@ def halve(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarra
 
 
 class CentroidGraph:
-    """Centroids, and links of each to its nearest ones and to some far ones."""
+    """Centroids, links of each to its nearest ones and to some far ones, and pivots, about the root of
+    their number, that searches start from."""
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE, seed: int = 7):
         self.c = np.ascontiguousarray(centroids, np.float32)
         self.norm = (self.c**2).sum(1)
-        n = len(self.c)
+        n, r = len(self.c), np.random.default_rng(seed)
         degree = min(degree, n - 1)
         near = np.empty((n, degree), np.int32)
         for i in range(0, n, 512):
             d = self.norm - 2 * self.c[i : i + 512] @ self.c.T
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
             near[i : i + 512] = np.argpartition(d, degree - 1, 1)[:, :degree] if degree else near[i : i + 512]
-        far = np.random.default_rng(seed).integers(0, n, (n, 4), np.int32)
-        self.links = np.concatenate([near, far], 1)
-        self.entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int32))
+        self.links = np.concatenate([near, r.integers(0, n, (n, 4), np.int32)], 1)
+        self.pivots = np.sort(r.permutation(n)[: max(min(n, STARTS), int(np.ceil(np.sqrt(n))))]).astype(np.int32)
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest centroids found by best-first search of all rows of x together,
-        nearest first, and their squared distances (inf where there are fewer)."""
+        """The ``width`` nearest centroids found by best-first search, nearest first, and their squared
+        distances (inf and list -1 where fewer were found). All of them, if so many are asked for."""
         x = np.ascontiguousarray(x, np.float32)
-        rows, n = np.arange(len(x)), len(self.c)
-        width = min(width, n)
-        own = (x**2).sum(1)
-        dist = np.full((len(x), n), np.inf, np.float32)
-        dist[:, self.entry] = own[:, None] + self.norm[self.entry] - 2 * x @ self.c[self.entry].T
-        open_ = dist.copy()
-        for _ in range(2 * width + 8):
-            best = open_.argmin(1)
-            worst = np.partition(dist, width - 1, 1)[:, width - 1]
-            live = np.isfinite(open_[rows, best]) & (open_[rows, best] <= worst)
-            if not live.any():
-                break
-            r, b = rows[live], best[live]
-            open_[r, b] = np.inf
-            to = self.links[b]
-            d = own[r, None] + self.norm[to] - 2 * np.einsum("rd,rkd->rk", x[r], self.c[to])
-            new = ~np.isfinite(dist[r[:, None], to])
-            rr, kk = np.nonzero(new)
-            dist[r[rr], to[rr, kk]] = d[rr, kk]
-            open_[r[rr], to[rr, kk]] = d[rr, kk]
-        at = np.argpartition(dist, width - 1, 1)[:, :width]
-        got = np.take_along_axis(dist, at, 1)
-        order = np.argsort(got, 1, kind="stable")
-        return np.take_along_axis(at, order, 1), np.maximum(np.take_along_axis(got, order, 1), 0)
-
-
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        """Squared distances of all rows of x to all centroids."""
-        x = np.ascontiguousarray(x, np.float32)
-        return np.maximum((x**2).sum(1)[:, None] + self.norm - 2 * x @ self.c.T, 0)
-
-
-def reach(d: np.ndarray, visited: int, ratio: float) -> list[np.ndarray]:
-    """For each row of distances its ``visited`` nearest lists, without those beyond (1 + ratio) of
-    the nearest; nearest first."""
-    near = np.argsort(d, 1, kind="stable")[:, :visited]
-    got = np.take_along_axis(d, near, 1)
-    return [a[m] for a, m in zip(near.astype(np.int32), got <= (1 + ratio) ** 2 * np.maximum(got[:, :1], 1e-12))]
-
-
-def fitted(d: np.ndarray, held: list[tuple[int, list[int]]], recall: float) -> tuple[int, float]:
-    """(visited, ratio), one of them without effect, that find the share ``recall`` of ``held``, pairs
-    of a row of d and the lists that hold one of its neighbours: what visits fewer lists."""
-    everything = d.shape[1], float("inf")
+        width = min(width, len(self.c))
+        parts = [self._search(x[i : i + ROWS], width) for i in range(0, len(x), ROWS)] or [(np.zeros((0, width), np.int32), np.zeros((0, width), np.float32))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        own, rows, n = (x**2).sum(1), np.arange(len(x))[:, None], len(self.c)
+        if width == n:
+            dist = own[:, None] + self.norm - 2 * x @ self.c.T
+            ids = np.broadcast_to(np.arange(n, dtype=np.int32), dist.shape)
+        else:
+            beam = min(n, max(3 * width // 2, BEAM))
+            first = own[:, None] + self.norm[self.pivots] - 2 * x @ self.c[self.pivots].T
+            at = np.argpartition(first, min(STARTS, len(self.pivots)) - 1, 1)[:, :STARTS]
+            ids, dist = self.pivots[at], np.take_along_axis(first, at, 1)
+            seen = np.zeros((len(x), n), bool)
+            seen[rows, ids] = True
+            open_ = np.ones(ids.shape, bool)
+            while True:
+                waiting = np.where(open_, dist, np.inf)
+                e = np.argpartition(waiting, EXPANDED - 1, 1)[:, :EXPANDED] if waiting.shape[1] > EXPANDED else np.broadcast_to(np.arange(waiting.shape[1]), waiting.shape)
+                live = np.isfinite(waiting[rows, e])
+                if not live.any():
+                    break
+                open_[rows, e] = False
+                # neighbours of what is expanded, each once, without those seen before
+                to = np.where(live[:, :, None], self.links[np.maximum(ids[rows, e], 0)], n).reshape(len(x), -1)
+                to.sort(1)
+                new = to < n
+                new[:, 1:] &= to[:, 1:] != to[:, :-1]
+                new &= ~seen[rows, np.minimum(to, n - 1)]
+                r, k = np.nonzero(new)
+                node = to[r, k]
+                seen[r, node] = True
+                more = np.full(to.shape, np.inf, np.float32)
+                more[r, k] = own[r] + self.norm[node] - 2 * np.einsum("nd,nd->n", x[r], self.c[node])
+                ids, dist, open_ = np.concatenate([ids, to], 1), np.concatenate([dist, more], 1), np.concatenate([open_, new], 1)
+                if ids.shape[1] > beam:
+                    best = np.argpartition(dist, beam - 1, 1)[:, :beam]
+                    ids, dist, open_ = (np.take_along_axis(v, best, 1) for v in (ids, dist, open_))
+        order = np.argsort(dist, 1, kind="stable")[:, :width]
+        ids, dist = np.take_along_axis(ids, order, 1).astype(np.int32), np.take_along_axis(dist, order, 1)
+        if ids.shape[1] < width:
+            pad = ((0, 0), (0, width - ids.shape[1]))
+            ids, dist = np.pad(ids, pad, constant_values=-1), np.pad(dist, pad, constant_values=np.inf)
+        return np.where(np.isfinite(dist), ids, -1), np.maximum(dist, 0)
+
+
+def reach(at: np.ndarray, d: np.ndarray, ratio: float) -> list[np.ndarray]:
+    """For each row of lists, nearest first, and their squared distances those within (1 + ratio) of the
+    nearest."""
+    return [a[m] for a, m in zip(at, (at >= 0) & (d <= (1 + ratio) ** 2 * np.maximum(d[:, :1], 1e-12)))]
+
+
+def enough(graph: CentroidGraph, x: np.ndarray, lists: list[np.ndarray], sizes: np.ndarray, least: int) -> list[np.ndarray]:
+    """``lists`` of each row of x, or, where these hold fewer than ``least`` entries, so many of the
+    nearest of all lists as hold them; all, if there are fewer in all."""
+    short = [i for i, own in enumerate(lists) if sizes[own].sum() < least]
+    for i, every in zip(short, graph.search(x[short], len(graph.c))[0] if short else ()):
+        lists[i] = every[: int(np.searchsorted(np.cumsum(sizes[every]), least)) + 1]
+    return lists
+
+
+def fitted(at: np.ndarray, d: np.ndarray, held: list[tuple[int, list[int]]], recall: float) -> tuple[int, float] | None:
+    """(visited, ratio) that find the share ``recall`` of ``held``, pairs of a row of ``at`` (lists that
+    were found, nearest first, at squared distances d) and the lists that hold one of its neighbours:
+    what visits fewer lists, a number of them or all within a ratio. None if too few were found."""
     if not held:
-        return everything
-    place = np.argsort(np.argsort(d, 1, kind="stable"), 1)
-    far = np.sqrt(d / np.maximum(d.min(1, keepdims=True), 1e-12))
-    at = int(np.ceil(recall * len(held))) - 1
-    visited = int(np.sort([place[i, lists].min() for i, lists in held])[at]) + 1
-    ratio = float(np.sort([far[i, lists].min() for i, lists in held])[at]) * 1.001 - 1
-    return (visited, everything[1]) if visited <= (far <= 1 + ratio).sum(1).mean() else (everything[0], max(ratio, 0.0))
+        return at.shape[1], float("inf")
+    place = [{int(x): k for k, x in enumerate(row) if x >= 0} for row in at]
+    first = np.sort([min((place[i].get(x, np.inf) for x in lists), default=np.inf) for i, lists in held])
+    need = int(np.ceil(recall * len(held))) - 1
+    if not np.isfinite(first[need]):
+        return None
+    visited = int(first[need]) + 1
+    far = np.sqrt(d / np.maximum(d[:, :1], 1e-12))
+    of = [min((far[i, place[i][x]] for x in lists if x in place[i]), default=np.inf) for i, lists in held]
+    ratio = float(np.sort(of)[need]) * 1.001 - 1
+    within = (far <= 1 + ratio).sum(1)
+    if visited <= within.mean():
+        return visited, float("inf")
+    return min(at.shape[1], 2 * int(within.max())), max(ratio, 0.0)
 
 
 def own_lists(graph: CentroidGraph, x: np.ndarray, replicas: int, slack: float) -> list[list[int]]:
@@ -133,7 +165,7 @@ def own_lists(graph: CentroidGraph, x: np.ndarray, replicas: int, slack: float)
     out = []
     for lists, dist in zip(at, d):
         chosen: list[int] = []
-        for c, far in zip(lists, dist):
+        for c, far in zip(lists[lists >= 0], dist):
             if len(chosen) == replicas or not far <= (1 + slack) ** 2 * dist[0]:
                 break
             if all(((graph.c[c] - graph.c[o]) ** 2).sum() > 0.5 * far for o in chosen):
@@ -249,14 +281,18 @@ def nearest(
     asked = save(packed(queries.groupBy("_h", "vec").agg(F.min("query_id").alias("qid")), ["qid"]), "queries")
 
     n = once.count()
-    sample = once.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("raw").toPandas()
-    fit = matrix(sample["raw"], dim)
+    lists = min(MOST_LISTS, max(min(LEAST_LISTS, n // 64), int(np.ceil(np.sqrt(n) / 2))))
+    # about twice the sample passes a cut by hash, so that tasks have few to rank
+    wanted, place = max(SAMPLE, SAMPLE_LIST * lists), F.pmod(F.xxhash64("uid"), F.lit(1 << 40))
+    near = once.where(place <= int(2 * wanted / n * (1 << 40))) if n > 2 * wanted else once
+    fit = matrix(near.orderBy(place, "uid").limit(wanted).select("raw").toPandas()["raw"], dim)
+
     def norms(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([float((matrix(b.column(0).to_pylist(), dim) ** 2).sum(1).max())] if b.num_rows else [], pa.float64())], names=["m"])
 
     most = once.select("raw").mapInArrow(norms, "m double").agg(F.max("m")).first()[0]
-    lists = min(MOST_LISTS, max(min(LEAST_LISTS, n // 64), n // LIST_ROWS), len(fit) // 4)
+    lists = min(lists, len(fit) // 4)
     points = lifted(fit, most)
     centroids = np.stack([points[g].mean(0) for g in halve(points, max(1, lists), np.random.default_rng(seed))])
     graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
@@ -272,18 +308,30 @@ def nearest(
     if visited is None and ratio is None:
         probes = asked.orderBy(F.xxhash64("qid"), "qid").limit(PROBES).select("raw").toPandas()["raw"].tolist()
         held = [(r["probe"], r["lists"]) for r in neighbours(posted, probes, dim, k).collect()]
-        visited, ratio = fitted(graph.value.distances(aimed(matrix(probes, dim), most)), held, recall)
+        asks, width = aimed(matrix(probes, dim), most), BEAM
+        while (fit_ := fitted(*graph.value.search(asks, width), held, recall)) is None and width < len(centroids):
+            width *= 2
+        visited, ratio = fit_ or (len(centroids), float("inf"))
     visited, ratio = visited or len(centroids), float("inf") if ratio is None else ratio
 
+    # a vector is in ``replicas`` lists at most, so so many entries hold k + 1 different ones
+    sizes = np.zeros(len(centroids), np.int64)
+    for r in posted.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # a row for each list
+        sizes[r["list"]] = r["count"]
+
     def aim(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                at = reach(graph.value.distances(aimed(matrix(part.column(1).to_pylist(), dim), most)), visited, ratio)
+                asks = aimed(matrix(part.column(1).to_pylist(), dim), most)
+                at = enough(graph.value, asks, reach(*graph.value.search(asks, visited), ratio), sizes, replicas * (k + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32()))], names=["qid", "raw", "lists"])
 
+    written = [once, asked, posted]
     posted = posted.select("uid", "raw", F.explode("lists").alias("list"))
-    aims = save(asked.mapInArrow(aim, "qid long, raw binary, lists array<int>"), "aims").select("qid", "raw", F.explode("lists").alias("list"))
+    aims = save(asked.mapInArrow(aim, "qid long, raw binary, lists array<int>"), "aims")
+    written.append(aims)
+    aims = aims.select("qid", "raw", F.explode("lists").alias("list"))
     # at most MOST_LISTS rows: how many blocks of vectors and of queries each list has
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_vb"))
     loads = aims.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_qb"))
@@ -311,7 +359,9 @@ def nearest(
     key = ["list", "vb", "qb"]
     hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "qid long, uid long, score double")
     best = W.partitionBy("qid").orderBy(F.desc("score"), "uid")
-    # a vector that several of a query's lists hold comes once; the first k + 1 vectors hold all that is asked
+    # a vector that several of a query's lists hold comes once; the first k + 1 vectors hold all that is asked.
+    # It is in ``replicas`` lists at most, so that so many times k + 1 hits, ranked before the shuffle, hold them
+    hits = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= replicas * (k + 1)).drop("_n")
     first = hits.groupBy("qid", "uid").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
     found = first.join(once.select("uid", F.explode("ids").alias("vec_id")), "uid").select("qid", "vec_id", "score")
     found = found.withColumn("_n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1)
@@ -320,4 +370,6 @@ def nearest(
     each = queries.join(of, ["_h", "vec"]).select("query_id", "qid")
     got = each.join(found, "qid").withColumn("found", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     got = got.select("query_id", F.posexplode("found").alias("_p", "_f"))
-    return got.select("query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_f.vec_id").alias("vec_id"), F.col("_f.score").alias("score"))
+    out = save(got.select("query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_f.vec_id").alias("vec_id"), F.col("_f.score").alias("score")), "neighbours")
+    drop(*written)
+    return out

@@ -59,30 +59,49 @@ def test_recall_and_small_blocks(spark, monkeypatch, scaled):
     assert all(len(x) == 20 and x == sorted(x, key=lambda y: (-y[1], y[0])) for x in got.values())
 
 
-def test_recall_where_few_of_the_lists_would_be_forty(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 16)
-    monkeypatch.setattr(ann, "PROBES", 40)
+def test_recall_on_embeddings(spark, sf):
+    df = spark.read.parquet(f"{sf}/../sf0.1/embeddings.parquet").where(ann.usable(F.col("embedding")))
+    ids, v = zip(*((r.vec_id, r.embedding) for r in df.collect()))
+    ids, v = np.array(ids), np.array(v, float)
+    got, want = found(df, 20, 20), exact(ids, v, [i for i in ids if i % 20 == 0], 20)
+    assert sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_recall_with_forty_times_the_lists_that_are_visited(spark, monkeypatch):
+    fits = []
+    real = ann.fitted
+    monkeypatch.setattr(ann, "fitted", lambda at, d, *rest: fits.append((real(at, d, *rest), at, d)) or fits[-1][0])
+    monkeypatch.setattr(ann, "LEAST_LISTS", 700)
     r = np.random.default_rng(5)
-    v = r.normal(size=(6000, 64))
-    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
-    got, want = found(frame(spark, v), 50, 20), exact(np.arange(6000), v.astype(float), range(0, 6000, 50), 20)
+    v = (r.normal(size=(1200, 32))[r.integers(0, 1200, 45_000)] + 0.15 * r.normal(size=(45_000, 32))).astype(np.float32)
+    got, want = found(frame(spark, v), 100, 20), exact(np.arange(45_000), v.astype(float), range(0, 45_000, 100), 20)
     assert sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+    (visited, ratio), at, d = fits[-1]
+    each = np.mean([len(x) for x in ann.reach(at[:, :visited], d[:, :visited], ratio)])
+    assert 700 >= 40 * each
 
 
 def test_fitted_takes_what_visits_fewer_lists():
     d = np.array([[1.0, 4.0, 9.0, 100.0], [100.0, 90.0, 80.0, 1.0]])
-    assert ann.fitted(d, [(0, [2]), (1, [3])], 1.0)[0] == 4 and [len(x) for x in ann.reach(d, *ann.fitted(d, [(0, [2]), (1, [3])], 1.0))] == [3, 1]
-    assert ann.fitted(d, [(0, [3, 1]), (1, [2])], 1.0) == (2, float("inf")) and ann.fitted(d, [], 0.9) == (4, float("inf"))
+    at = np.argsort(d, 1)
+    d = np.sort(d, 1)
+    visited, ratio = ann.fitted(at, d, [(0, [2]), (1, [3])], 1.0)
+    assert [len(x) for x in ann.reach(at[:, :visited], d[:, :visited], ratio)] == [3, 1]
+    assert ann.fitted(at, d, [(0, [3, 1]), (1, [2])], 1.0) == (2, float("inf")) and ann.fitted(at, d, [], 0.9) == (4, float("inf"))
+    assert ann.fitted(at[:, :1], d[:, :1], [(0, [3])], 0.9) is None
 
 
-def test_graph_search_finds_the_nearest_centroids():
+@pytest.mark.parametrize("n,width", [(500, 10), (4096, 20), (4096, 200), (60, 60), (9, 5), (1, 3)])
+def test_graph_search_finds_the_nearest_centroids(n, width):
     r = np.random.default_rng(3)
-    c, x = r.normal(size=(500, 16)), r.normal(size=(200, 16))
-    at, d = ann.CentroidGraph(c).search(x, 10)
-    true = ((x[:, None] - c[None]) ** 2).sum(2)
-    best = np.argsort(true, 1)[:, :10]
-    assert np.mean([len(set(a) & set(b)) for a, b in zip(at, best)]) > 9.5
-    assert np.allclose(d, np.take_along_axis(true, at, 1), atol=1e-3)
+    c, x = r.normal(size=(n, 16)), r.normal(size=(300, 16))
+    at, d = ann.CentroidGraph(c).search(x, width)
+    width = min(width, n)
+    true = (x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T
+    best = np.argsort(true, 1)[:, :width]
+    assert at.shape == d.shape == (300, width) and (np.diff(d, axis=1) >= 0).all()
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(at, best)]) > 0.95 * width
+    assert np.allclose(d[at >= 0], np.take_along_axis(true, np.maximum(at, 0), 1)[at >= 0], atol=1e-3) and all(len(set(a[a >= 0])) == (a >= 0).sum() for a in at)
 
 
 def test_halving_is_balanced():
