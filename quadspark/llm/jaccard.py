@@ -17,11 +17,16 @@ Signatures are counted before they are joined, slice by slice; only those of two
 survive. Each bucket is tried as a star around one member; pairs pass an exact lower bound on their
 difference, are verified on the sets of 64-bit shingle hashes, and components are formed; only then
 are members that are still in different components compared with each other. So a group of thousands
-of near copies costs about one verification a member.
+of near copies costs about one verification a member. A large bucket of unlike sets, which share no more
+than a frequent shingle, is not compared pair by pair but joined on its rarest shingles: of n shingles so
+many stand first, in an order by frequency within the bucket, that linked sets must have one in common.
+
+Sets are told apart by 128 bits: ids have 63, and the sets of an id that 64 more bits tell apart get others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from quadspark.llm.components import components, merged
 from quadspark.llm.shared import drop, release, save, sliced, utf8
@@ -42,6 +48,9 @@ SKETCH = 8
 #: Share of the sets in a band, and the cost of a false candidate in signatures, for the allocation.
 BAND_SHARE, FALSE_COST = 0.05, 0.1
 SKETCHED = [f"s{i}" for i in range(SKETCH)]
+#: Members of a bucket that are compared pair by pair at most, by sizes and sketches. A larger bucket's
+#: join on rare shingles costs more a member, but no more the larger it is.
+PAIRED = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,9 +74,10 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """63 bits that name a set."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) >> 1
+def set_ids(hashes: np.ndarray) -> tuple[int, int]:
+    """63 bits that name a set, and 64 (signed) that tell it from others of that name."""
+    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return both >> 65, (both & (1 << 64) - 1) - (1 << 63)
 
 
 class Bands:
@@ -139,9 +149,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def signed_sets(docs: DataFrame, width: int, percent: int, rows: int, slices: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, the sketch, and the signatures in ``slices`` columns). set_id is
-    null for texts without words."""
-    longs = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_id", *SKETCHED)]
+    """(doc_id, n_shingles, set_id, set_lo, the sketch, and the signatures in ``slices`` columns). The
+    ids are null for texts without words."""
+    longs = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_id", "set_lo", *SKETCHED)]
     out = T.StructType([docs.schema["doc_id"], *longs, *(T.StructField(f"sigs{k}", T.ArrayType(T.LongType(), False)) for k in range(slices))])
 
     def run(batches):
@@ -151,7 +161,7 @@ def signed_sets(docs: DataFrame, width: int, percent: int, rows: int, slices: in
             for raw in b.column(1).to_pylist():
                 h = shingles(raw, width)
                 n.append(len(h))
-                ids.append(set_id(h) if len(h) else None)
+                ids.append(set_ids(h) if len(h) else (None, None))
                 sketches.append(sketch(h))
                 sigs = bands.signatures(h)
                 part = (sigs >> U(1)) % U(slices)
@@ -163,23 +173,40 @@ def signed_sets(docs: DataFrame, width: int, percent: int, rows: int, slices: in
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in x]))).astype(np.int32)
                 flat = np.concatenate(x) if x else np.zeros(0, np.int64)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)), *arrays], names=out.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)), *arrays], names=out.names)
 
     return docs.select("doc_id", utf8("text").alias("_raw")).mapInArrow(run, out)
 
 
 def hashed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(set_id, hashes) of each text."""
-    out = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType(), False))])
+    """(set_id, set_lo, hashes) of each text."""
+    out = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("set_lo", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType(), False))])
 
     def run(batches):
         for b in sliced(batches):
             sets = [shingles(raw, width) for raw in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=out.names)
+            ids = [set_ids(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=out.names)
 
     return docs.select(utf8("text").alias("_raw")).mapInArrow(run, out)
 
 
+def renamed(rows: DataFrame, twice: DataFrame | None) -> DataFrame:
+    """``rows`` (set_id, set_lo, ...) with other ids for sets whose ids name several."""
+    if twice is None:
+        return rows
+    other = F.shiftrightunsigned(F.xxhash64("set_id", "set_lo"), 1)
+    got = rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice, "set_id", "left")
+    return got.withColumn("set_id", F.when(F.col("_twice"), other).otherwise(F.col("set_id"))).select(rows.columns)
+
+
+def classes_of(signed: DataFrame) -> DataFrame:
+    """(set_id, first_doc, n, the sketch, twice): the sets, and whether an id names several."""
+    every = signed.where("set_id is not null and doc_id is not null")
+    sketches = [F.max(c).alias(c) for c in SKETCHED]
+    return save(every.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n"), *sketches, (F.min("set_lo") != F.max("set_lo")).alias("_twice")), "classes")
+
+
 def lightly(classes: DataFrame, side: str) -> DataFrame:
     """A set's size and sketch under names of one side of a pair."""
     return classes.select(F.col("set_id").alias(side), F.col("n").alias(f"_n{side}"), *[F.col(c).alias(f"_{c}{side}") for c in SKETCHED])
@@ -201,27 +228,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("_common") * 100 >= union * percent).select("a", "b")
 
 
-def still_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket in different components that may be linked and weren't tried."""
+def still_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, percent: int, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs of members of one bucket in different components that may be linked and weren't tried.
+    ``sets`` gives the hashes of a table of set ids."""
     at = members.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    mixed = at.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("sig")
-    both = save(at.join(mixed, "sig").join(classes.drop("first_doc"), "set_id"), "open")
+    mixed = at.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_size")).where("_lo <> _hi").select("sig", "_size")
+    both = save(at.join(mixed, "sig").join(classes.drop("first_doc", "_twice"), "set_id"), "open")
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        more = [c for c in ("_e", "_rank") if c in rows.columns]
+        return rows.select(F.col("sig").alias(f"_sig{x}"), F.col("whole").alias(f"_w{x}"), F.col("label").alias(f"_l{x}"), F.col("set_id").alias(x), F.col("n").alias(f"_n{x}"), *[F.col(c).alias(f"_{c}{x}") for c in SKETCHED], *[F.col(c).alias(f"{c}{x}") for c in more])
+
+    apart = (F.col("_siga") == F.col("_sigb")) & (F.col("_la") != F.col("_lb")) & (F.col("_wa") | F.col("_wb")) & may_link(percent)
+    few = both.where(F.col("_size") <= PAIRED)
+    found = side(few, "a").join(side(few, "b"), apart & (F.col("a") > F.col("b"))).select("a", "b").distinct()
+    many = both.where(F.col("_size") > PAIRED)
+    if many.limit(1).count():
+        own = sets(many.select("set_id").distinct())
+        # rows are few and small until they are exploded, so they are dealt out before
+        parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = many.join(own, "set_id").repartition(parts, "sig", "set_id").select(*many.columns, F.explode("hashes").alias("_e"))
+        often = each.groupBy("sig", "_e").agg(F.countDistinct("set_id").alias("_often"))
+        order = W.partitionBy("sig", "set_id", "whole").orderBy("_often", "_e")
+        ranked = each.join(often, ["sig", "_e"]).withColumn("_rank", F.row_number().over(order)).where("_often > 1")
+        # of two linked sets the larger has a shingle in common with the smaller among these first ones
+        larger = F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        smaller = F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+        ranked = save(ranked.where(larger).withColumn("_small", smaller).drop("_often"), "ranked")
+        ordered = (F.col("_na") > F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("a") != F.col("b")))
+        near = side(ranked, "a").join(side(ranked.where("_small"), "b"), apart & (F.col("_ea") == F.col("_eb")) & ordered)
+        found = save(found.unionByName(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "apart")
+        drop(own, ranked)
+    return found.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
-    def side(x: str) -> DataFrame:
-        return both.select(F.col("sig").alias(f"_sig{x}"), F.col("whole").alias(f"_w{x}"), F.col("label").alias(f"_l{x}"), F.col("set_id").alias(x), F.col("n").alias(f"_n{x}"), *[F.col(c).alias(f"_{c}{x}") for c in SKETCHED])
 
-    apart = (F.col("_siga") == F.col("_sigb")) & (F.col("a") > F.col("b")) & (F.col("_la") != F.col("_lb")) & (F.col("_wa") | F.col("_wb"))
-    found = side("a").join(side("b"), apart & may_link(percent)).select("a", "b").distinct()
-    return found.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+def ends(pairs: DataFrame) -> DataFrame:
+    """The set ids in these pairs."""
+    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
 
-def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The hashes of all sets in these pairs, from one document of each."""
-    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, twice: DataFrame | None = None) -> DataFrame:
+    """The hashes of these sets, from one document of each."""
     ids = save(classes.join(wanted, "set_id").select(F.col("first_doc").alias("doc_id")), "wanted")
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    out = save(hashed_sets(texts, width).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    out = save(renamed(hashed_sets(texts, width), twice).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
     drop(ids)
     return out
 
@@ -239,9 +290,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slice
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     signed = save(signed_sets(docs, width, percent, docs.count(), slices), "signed")
+    classes, twice = classes_of(signed), None
+    if classes.where("_twice").limit(1).count():
+        twice = save(classes.where("_twice").select("set_id", "_twice"), "twice")
+        was, signed = signed, save(renamed(signed, twice), "signed")
+        drop(was, classes)
+        classes = classes_of(signed)
+        if classes.where("_twice").limit(1).count():
+            raise RuntimeError("sets cannot be told apart by 128 bits")
     every = signed.where("set_id is not null and doc_id is not null")
-    sketches = [F.max(c).alias(c) for c in SKETCHED]
-    classes = save(every.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n"), *sketches), "classes")
     parts = []
     for k in range(slices):
         one = every.select(F.explode(f"sigs{k}").alias("_x"), "set_id")
@@ -267,14 +324,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slice
     tried = members.where("set_id <> rep").select(F.col("set_id").alias("a"), F.col("rep").alias("b")).distinct()
     likely = tried.join(lightly(classes, "a"), "a").join(lightly(classes, "b"), "b").where(may_link(percent)).select("a", "b")
     tried = save(likely, "pairs")
-    sets = sets_of(tried, classes, docs, width)
+    sets = sets_of(ends(tried), classes, docs, width, twice)
     links = save(verified(tried, sets, percent), "links")
     labels = components(links)
     drop(sets, links)
     release(spark)
-    more = save(still_apart(members, labels, classes, tried, percent), "pairs")
+    more = save(still_apart(members, labels, classes, tried, percent, lambda ids: sets_of(ids, classes, docs, width, twice)), "pairs")
     if more.limit(1).count():
-        sets = sets_of(more, classes, docs, width)
+        sets = sets_of(ends(more), classes, docs, width, twice)
         links = save(verified(more, sets, percent), "links")
         labels = merged(labels, links)
         drop(sets, links)

@@ -72,6 +72,42 @@ def test_candidates_beyond_the_broadcast_bound(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80) == brute(rows, 3, 80)
 
 
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
+    """All mixed buckets are joined on their rarest shingles."""
+    monkeypatch.setattr(jc, "PAIRED", 1)
+    for width, percent in ((3, 90), (2, 70)):
+        rows = corpus(percent + 1)
+        assert result(spark.createDataFrame(rows, "doc_id long, text string"), width, percent) == brute(rows, width, percent)
+
+
+def test_a_large_bucket_of_unlike_sets_is_no_quadratic_work(spark):
+    """50,000 sets with one shingle in common, and some linked ones among them, in one bucket."""
+    r = random.Random(9)
+    texts = ["the same words " + " ".join(str(r.randrange(10**9)) for _ in range(r.randint(10, 20))) for _ in range(50_000)]
+    texts += [t + " more" for t in texts[:300]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    classes = jc.classes_of(jc.signed_sets(docs, 3, 90, len(texts), 1))
+    members = classes.select(jc.F.lit(5).cast("long").alias("sig"), jc.F.lit(True).alias("whole"), "set_id")
+    labels, tried = spark.createDataFrame([], "node long, label long"), spark.createDataFrame([], "a long, b long")
+    more = jc.save(jc.still_apart(members, labels, classes, tried, 90, lambda ids: jc.sets_of(ids, classes, docs, 3)), "pairs")
+    links = jc.verified(more, jc.sets_of(jc.ends(more), classes, docs, 3), 90)
+    # n shingles, and one more: linked from n = 9 on
+    assert more.count() <= 1000 and links.count() == 300
+
+
+def test_sets_of_one_id_are_told_apart(spark):
+    rows = corpus(3)[:60] + [(1000 + i, f"some text number {i} of its own") for i in range(40)]
+    want = brute(rows, 3, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = jc.signed_sets(docs, 3, 90, 100, 1)
+    clash = jc.save(signed.withColumn("set_id", jc.F.col("set_id").bitwiseAND(jc.F.lit(7))), "clash")
+    classes = jc.classes_of(clash)
+    twice = jc.save(classes.where("_twice").select("set_id", "_twice"), "twice")
+    fixed = jc.classes_of(jc.renamed(clash, twice))
+    assert classes.count() <= 8 and fixed.count() == signed.select("set_id", "set_lo").distinct().count() and not fixed.where("_twice").count()
+    assert result(docs, 3, 90) == want
+
+
 def test_a_set_with_many_empty_segments_is_still_found():
     """Linked sets share a signature whatever their hashes are."""
     import numpy as np
