@@ -29,7 +29,8 @@ class Full(Exception):
 
 
 class Cuckoo:
-    def __init__(self, buckets: int, data: bytes | None = None):
+    def __init__(self, buckets: int = 4, data: bytes | None = None):
+        buckets = buckets if data is None else len(data) // (2 * SLOTS)
         self.mask = U(buckets - 1)
         self.cells = np.zeros((buckets, SLOTS), np.uint16) if data is None else np.frombuffer(data, np.uint16).reshape(buckets, SLOTS).copy()
 

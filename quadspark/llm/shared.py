@@ -87,14 +87,26 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def _shared_column(df: DataFrame, keep: list[str], text_col: str) -> bool:
+    return text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType)
+
+
 def carried(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, list[T.StructField]]:
-    """``keep`` columns under names of their own, and the text's bytes as _raw behind them; the
-    fields of the kept columns."""
+    """``keep`` columns under names of their own, and, where the text isn't one of them, its bytes as
+    _raw behind them; the fields of the kept columns. raw_texts() gives the bytes of either."""
     names = [f"_c{i}" for i in range(len(keep))]
-    own = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], utf8(f"`{text_col}`").alias("_raw"))
+    more = [] if _shared_column(df, keep, text_col) else [utf8(f"`{text_col}`").alias("_raw")]
+    own = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *more)
     return own, [T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, names)]
 
 
+def raw_texts(b: pa.RecordBatch, keep: list[str], text_col: str) -> list[bytes]:
+    """The bytes of the texts of a batch of carried() rows, none for null."""
+    at = keep.index(text_col) if "_raw" not in b.schema.names else len(keep)
+    column = b.column(at)
+    return [x or b"" for x in (column if pa.types.is_binary(column.type) else column.cast(pa.binary())).to_pylist()]
+
+
 def restored(df: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns under their names again, and the others behind them."""
     new = [c for c in df.columns if c not in {f"_c{i}" for i in range(len(keep))}]

@@ -69,16 +69,42 @@ def test_cuckoo_deletes_displaced_fingerprints():
     assert not c.cells.any()
 
 
-@pytest.mark.parametrize("broadcast", [(64 << 20, 500_000), (64 << 20, 0), (0, 0)])
-def test_all_routes_equal_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(ld, "BROADCAST_BYTES", broadcast[0])
-    monkeypatch.setattr(ld, "BROADCAST_KEYS", broadcast[1])
+@pytest.mark.parametrize("keys,ids,refs", [(500_000, 2_000_000, 500_000), (0, 2_000_000, 7), (0, 0, 7)])
+def test_all_routes_equal_brute_force(spark, monkeypatch, keys, ids, refs):
+    monkeypatch.setattr(ld, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(ld, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(ld, "BLOCK_REFS", refs)
+    monkeypatch.setattr(ld, "LEAST_SHARDS", 1)
     monkeypatch.setattr(ld, "SHARD_KEYS", 2)
     rows = [*some(1, 60), (7, "Common line 0 is here\nagain"), (None, "Common line 1 is here")]
     index = ld.LineIndex.build(frame(spark, rows), 3, 10)
     assert cleaned(index, frame(spark, rows)) == brute(rows, 3, 10)
 
 
+def test_filters_name_the_common_keys_and_few_others(spark):
+    index = ld.LineIndex.build(frame(spark, some(4, 300)), 3, 10)
+    hits, common = {(r.h1, r.h2) for r in index.hits().collect()}, {(r.h1, r.h2) for r in index.common().collect()}
+    assert common <= hits and len(hits - common) <= 0.01 * index.counts.count()
+
+
+def test_only_texts_that_lose_a_line_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ld, "BROADCAST_KEYS", 0)
+    rows = [(i, ("Common line that many hold" if i < 9 else f"line of {i} that is its own")) for i in range(400)]
+    index = ld.LineIndex.build(frame(spark, rows), 3, 10)
+    drops = index.drops()
+    assert {r.doc_id for r in drops.collect()} == set(range(8))
+    plan = index.clean(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and plan.count("LeftAnti") == 1
+
+
+def test_a_full_filter_grows_when_it_is_built(spark, monkeypatch):
+    monkeypatch.setattr(ld, "buckets_for", lambda n: 1)
+    monkeypatch.setattr(ld, "LEAST_SHARDS", 1)
+    rows = [(i, "\n".join(f"line number {k} of all" for k in range(60))) for i in range(4)]
+    index = ld.LineIndex.build(frame(spark, rows), 3, 10)
+    assert cleaned(index, frame(spark, rows)) == brute(rows, 3, 10)
+
+
 def test_inserts_and_deletions_are_reversible(spark):
     a, b = some(2, 30), some(3, 30, base=100)
     first = ld.LineIndex.build(frame(spark, a), 3, 10)
