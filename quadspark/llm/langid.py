@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import carried, restored, sliced
+from quadspark.llm.shared import carried, raw_texts, restored, sliced
 
 #: Bounds of the sample: texts of a language, and characters from each, in so many windows from its
 #: beginning to its end.
@@ -24,8 +24,8 @@ WINDOWS = 4
 DICT_BYTES = 90_000
 #: Bytes of a piece of text that is compressed at once.
 PIECE = 2048
-#: Levels of compression, and the bytes of text up to which the finer one is used.
-LEVEL, FINE_LEVEL, FINE_BYTES = 9, 12, 384
+#: Level of compression, of texts of any length.
+LEVEL = 12
 UNKNOWN = "und"
 
 #: ASCII characters but letters become spaces before anything is compressed.
@@ -73,7 +73,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-Models = list[tuple[str, object, object]]
+Models = list[tuple[str, object]]
 
 
 def classify(raw: bytes | None, models: Models, piece: int = PIECE) -> tuple[str, float]:
@@ -82,12 +82,11 @@ def classify(raw: bytes | None, models: Models, piece: int = PIECE) -> tuple[str
     if not models or not has_letter(text):
         return UNKNOWN, 0.0
     own = folded(text)
-    use = 2 if len(own) <= FINE_BYTES else 1
     sums = [0] * len(models)
     for i in range(0, len(own), piece):
         part = own[i : i + piece]
-        for k, model in enumerate(models):
-            sums[k] += len(model[use].compress(part))
+        for k, (_, compressor) in enumerate(models):
+            sums[k] += len(compressor.compress(part))
     best = min(range(len(sums)), key=lambda k: (sums[k], models[k][0]))
     if len(sums) == 1:
         return models[0][0], 1.0
@@ -98,12 +97,12 @@ def classify(raw: bytes | None, models: Models, piece: int = PIECE) -> tuple[str
 def compressors(dicts: dict[str, bytes]) -> Models:
     import zstandard as z
 
-    def one(data: bytes, level: int):
+    def one(data: bytes):
         d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        return z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        d.precompute_compress(level=LEVEL)
+        return z.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    return [(lang, one(data, LEVEL), one(data, FINE_LEVEL)) for lang, data in dicts.items()]
+    return [(lang, one(data)) for lang, data in dicts.items()]
 
 
 def identify(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = 0.02, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -120,7 +119,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = 0.02,
     def run(batches):
         models = compressors(dicts)
         for b in sliced(batches):
-            got = [classify(raw, models) for raw in b.column(len(keep)).to_pylist()]
+            got = [classify(raw, models) for raw in raw_texts(b, keep, text_col)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=out.names)
 
     return restored(own.mapInArrow(run, out), keep).withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin))

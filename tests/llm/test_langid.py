@@ -40,6 +40,33 @@ def test_pieces_come_from_all_over_the_texts_in_hash_order(spark):
     assert all("y" in part and part.split()[-1] == f"end{i}" and len(part) <= 403 for part, i in zip(long, order))
 
 
+def brute(text, dicts):
+    """The language of the smallest sum of compressed pieces, by compressors made for each piece."""
+    import zstandard as z
+
+    letters = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower())
+    own = " ".join(letters.split(" ")).encode()
+    own = b" ".join(own.split())
+    sums = {}
+    for lang, data in dicts.items():
+        d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+        sums[lang] = sum(len(z.ZstdCompressor(level=lg.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(own[i : i + lg.PIECE])) for i in range(0, len(own), lg.PIECE))
+    order = sorted(sums, key=lambda x: (sums[x], x))
+    return order[0], 1 - sums[order[0]] / sums[order[1]]
+
+
+def test_predictions_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    docs = docs.unionByName(docs.where("doc_id < 3"))  # repeated rows are sampled once
+    rows = lg.training_rows(docs)
+    assert rows == lg.training_rows(docs.distinct()) and len(rows) == len(set(rows))
+    dicts = lg.dictionaries(rows)
+    for r in lg.identify(docs, dicts).collect():
+        if any(map(str.isalpha, r.text)):
+            lang, score = brute(r.text, dicts)
+            assert r.lang_pred == lang and abs(r.score - score) < 0.01
+
+
 def test_edges(spark):
     docs = documents(spark)
     dicts = {"en": b"alpha beta gamma delta words one " * 40, "xx": b"qqq zzz vvv jjj kkk www " * 40}
