@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import carried, restored, sliced
+from quadspark.llm.shared import carried, raw_texts, restored, sliced
 
 #: Labelled rows that the rules are learned from at most.
 MAX_LABELLED = 20_000
@@ -135,7 +135,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
 
     def run(batches):
         for b in sliced(batches, 1024):
-            parts = [text_stats(r) for r in blocks(b.column(len(keep)).to_pylist())]
+            parts = [text_stats(r) for r in blocks(raw_texts(b, keep, text_col))]
             cols = [np.concatenate(p) for p in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(STATS)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in cols)], names=out.names)
 
@@ -262,15 +262,19 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, **options) -> list[Rule]:
-    """Rules from ``labels`` (doc_id, quality: 0 is bad) of ``docs``. At most ``most`` labelled rows,
-    those of the smallest hashes, are used. Null labels are left out; no labels give no rules."""
+    """Rules from ``labels`` (doc_id, quality: 0 is bad) of ``docs``. At most ``most`` labelled documents,
+    those of the smallest hashes, are used. Null labels are left out; no labels give no rules. Of several
+    labels of a document the largest holds; of rows that share a doc_id those of the smallest statistics."""
     spark = docs.sparkSession
-    order = F.xxhash64("doc_id")
-    picked = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(most).collect()
-    chosen = spark.createDataFrame([(r["doc_id"], int(r["quality"] == 0)) for r in {r["doc_id"]: r for r in picked}.values()], "doc_id long, _bad int")
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    each = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    # about twice as many as needed pass the cut, so that tasks have few to rank
+    n, place = each.count(), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = each.where(place <= int(2 * most / max(1, n) * (1 << 40))) if n > 2 * most else each
+    chosen = near.orderBy(place, "doc_id").limit(most).select("doc_id", (F.col("quality") == 0).cast("int").alias("_bad"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = with_stats(own, keep=["doc_id", "_bad"]).where(~base_failed())
-    rows = rows.select("doc_id", "_bad", *[c.alias(f"f_{n}") for n, c in features().items()]).limit(4 * most).toPandas()
+    rows = rows.select("doc_id", "_bad", *[c.alias(f"f_{n}") for n, c in features().items()])
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*rows.columns[1:])).alias("_r")).select("_r.*").toPandas()
     if rows.empty:
         return []
     rows = rows.sort_values(list(rows.columns), kind="stable").reset_index(drop=True)

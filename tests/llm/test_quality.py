@@ -60,6 +60,14 @@ def test_rules_find_conjunctions_and_keep_their_order():
     assert ql.learn_rules(x, np.zeros(3000, bool)) == [] and ql.learn_rules(x, r.random(3000) < 0.1) == []
 
 
+def test_rules_are_the_same_with_repeated_rows_and_labels(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = ql.fit_rules(docs, labels)
+    again = docs.unionByName(docs.where("doc_id % 2 = 0")).repartition(7)
+    assert rules and ql.fit_rules(again, labels.unionByName(labels).repartition(3)) == rules
+    assert ql.fit_rules(docs, labels, most=150) == ql.fit_rules(again, labels, most=150)
+
+
 def test_verdict_agrees_with_the_rules(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in ql.judge(docs, labels, keep=["doc_id"]).collect()}
