@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadspark.llm.shared import carried, restored, sliced, utf8
+from quadspark.llm.shared import carried, raw_texts, restored, sliced, utf8
 
-#: Labelled pages that the weights are counted on, at most, and their largest size in characters.
-MAX_LABELLED, MAX_LABELLED_CHARS = 4000, 200_000
+#: Labelled pages that the weights are counted on at most, and kinds of words and tags that get weights of
+#: their own, the commonest; others have the weights of what nothing is known of.
+MAX_LABELLED, MAX_KINDS = 4000, 2000
 
 #: Elements by their part in a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
@@ -32,7 +33,7 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "label", "fieldset", "head"}
+BOILERPLATE = {"nav", "footer", "aside", "menu", "button", "dialog", "label", "fieldset", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
 #: Words of class and id names that mark boilerplate.
 MARKS = {
@@ -91,9 +92,11 @@ def mark_of(name: str, attributes: str, within_main: bool) -> tuple[str, frozens
     """How an element is marked as boilerplate, and the class words that mark it."""
     if name in BOILERPLATE or (name == "header" and not within_main):
         return "hard", frozenset()
-    if not attributes.strip() or name in ("html", "body"):
+    if name in ("html", "body") or (not attributes.strip() and name != "form"):
         return "", frozenset()
     found: set[str] = set()
+    if name == "form":  # pages of some frameworks stand in one form as a whole
+        return "class", frozenset({"form"})
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
@@ -115,14 +118,16 @@ def items_of(page: str) -> list[Item]:
 
 
 def scanned(page: str, unmarked: frozenset[int]) -> tuple[list[Item], frozenset[int]]:
-    """The items, and the numbers of the elements with marked classes that hold most of the words in
-    main elements, or of all words if there are none; ``unmarked`` ones count as not marked."""
+    """The items, and the numbers of the marked elements that hold most of the words in main elements, or of
+    all words if there are none (forms: more than stand outside of all marked elements); ``unmarked`` ones
+    count as not marked."""
     lower = page.lower()
     main = "article" if "<article" in lower else "main" if "<main" in lower else ""
     out: list[Item] = []
     stack: list[Element] = []
     bad = hard = weak = links = mains = block = at = classes = words = main_words = 0
     held: list[tuple[int, int, int, frozenset[str]]] = []
+    free, lone = 0, Counter()  # words outside of all marked elements, and in nothing marked but one form
 
     def pop(n: int) -> None:
         nonlocal bad, hard, weak, links, mains
@@ -137,7 +142,7 @@ def scanned(page: str, unmarked: frozenset[int]) -> tuple[list[Item], frozenset[
             mains -= e.name == main
 
     def run(text: str) -> None:
-        nonlocal words, main_words
+        nonlocal words, main_words, free
         if not text:
             return
         text = references.unescape(text) if "&" in text else text
@@ -146,6 +151,10 @@ def scanned(page: str, unmarked: frozenset[int]) -> tuple[list[Item], frozenset[
         n = len(text.split())
         words += n * (not hard)
         main_words += n * (not hard and mains > 0)
+        free += n * (not bad)
+        if bad == 1 and n and not hard:
+            holder = next(e for e in reversed(stack) if e.mark == "class")
+            lone[holder.began[0]] += n * (holder.name == "form")
         out.append(Item(("w", kind, place), n, text, block, bad > 0))
 
     while True:
@@ -154,7 +163,7 @@ def scanned(page: str, unmarked: frozenset[int]) -> tuple[list[Item], frozenset[
         if not m:
             pop(0)
             most = lambda names: 0.9 if names & LONG else 0.5
-            return out, frozenset(k for k, n, n_main, names in held if (n_main > 0.5 * main_words if main_words else n > most(names) * words))
+            return out, frozenset(k for k, n, n_main, names in held if (n_main > 0.5 * main_words if main_words else n > most(names) * words or lone[k] > free))
         at = m.end()
         if m[1]:
             run(m[1])
@@ -280,9 +289,10 @@ def main_text(page: str, weights: Weights) -> str:
 
 def label_counts(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = MAX_LABELLED) -> dict[tuple[str, str, str], tuple[int, int]]:
     """(inside, outside) counts of words and tags by kind, on at most ``most`` labelled pages, those
-    of the smallest hashes: pages of at most MAX_LABELLED_CHARS with one article or main element."""
+    of the smallest hashes: whole pages with an article or main element. The MAX_KINDS commonest kinds
+    are counted (most names of elements are a few; pages can invent others)."""
     pages = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"))
-    labelled = pages.where(F.col("_id").isNotNull() & (F.length("_html") <= MAX_LABELLED_CHARS) & F.lower("_html").rlike("<(article|main)[ >]"))
+    labelled = pages.where(F.col("_id").isNotNull() & F.lower("_html").rlike("<(article|main)[ >]"))
     ids = labelled.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
     own = labelled.join(F.broadcast(ids), "_id", "left_semi").select(utf8("_html").alias("_raw"))
 
@@ -299,7 +309,7 @@ def label_counts(pages: DataFrame, html_col: str = "html", id_col: str = "page_i
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in kinds], pa.string()) for i in range(3)), pa.array([inside[k] for k in kinds], pa.int64()), pa.array([outside[k] for k in kinds], pa.int64())], names=["kind", "name", "place", "inside", "outside"])
 
     got = own.mapInArrow(run, "kind string, name string, place string, inside long, outside long")
-    top = got.groupBy("kind", "name", "place").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "kind", "name", "place").limit(2000).collect()
+    top = got.groupBy("kind", "name", "place").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "kind", "name", "place").limit(MAX_KINDS).collect()
     return {(r["kind"], r["name"], r["place"]): (r["i"], r["o"]) for r in top}
 
 
@@ -317,7 +327,7 @@ def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "pag
 
     def run(batches):
         for b in sliced(batches):
-            texts = [main_text(raw.decode("utf-8", "replace"), weights) for raw in b.column(len(keep)).to_pylist()]
+            texts = [main_text(raw.decode("utf-8", "replace"), weights) for raw in raw_texts(b, keep, html_col)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=out.names)
 
     return restored(own.mapInArrow(run, out), keep).withColumn("n_chars", F.length("text").cast("long"))

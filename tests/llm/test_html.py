@@ -1,5 +1,10 @@
+import random
+from collections import Counter
+
 import pytest
 from edges import none
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quadspark.llm import html as h
@@ -34,6 +39,10 @@ def test_main_text_of_templates(page):
         f"<body>{NAV}<div id='page' class='has-header'>{BODY}</div>{FOOT}",
         f"<body>{NAV}<div class='site widget-ready'><article>{BODY}</article></div>{FOOT}",
         f"<body>{NAV}<div class='sidebar-left social'>{BODY}</div>{FOOT}",
+        f"<body>{NAV}<div class='hfeed has-sidebar'><article>{BODY}</article></div>{FOOT}",
+        f"<body>{NAV}<div class='post no-comments'>{BODY}</div>{FOOT}",
+        f"<body>{NAV}<div class='legal-news'>{BODY}</div>{FOOT}",
+        f"<body><form id='aspnetForm' method=post>{NAV}<div id=main>{BODY}</div><input type=hidden></form>{FOOT}",
         f"<body>{NAV}<div class='menu'><article>{BODY}</article><div class='related-posts'>Other posts</div></div><div class=comments>{'I think so too. ' * 20}</div>{FOOT}",
     ],
 )
@@ -59,9 +68,46 @@ def test_markup_within_words_and_broken_markup():
     assert h.main_text("", w) == "" and h.main_text("<nav>Menu</nav>", w) == ""
 
 
-def test_best_region():
-    assert h.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4) or h.best_region([-1, 2, -1, 3, -5, 4]) == (5, 6)
-    assert h.best_region([-1, -2]) == (0, 0) and h.best_region([]) == (0, 0) and h.best_region([1, -3, 5, -1, 2]) == (2, 5)
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=14))
+def test_best_region_equals_all_regions(scores):
+    """Of regions of the largest sum the one that ends first, of these the shortest."""
+    every = [(sum(scores[i:j]), -j, i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+    total, end, start = max(every, default=(0, 0, 0))
+    assert h.best_region(scores) == ((start, -end) if total > 0 else (0, 0))
+
+
+def token_f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    common = sum((a & b).values())
+    return 2 * common / max(1, sum(a.values()) + sum(b.values()))
+
+
+def labelled_page(r):
+    """A page, and its main text, of one of several layouts with boilerplate of all kinds around it."""
+    words = lambda a, b: " ".join(r.choice("the of river stone and light a house over time we found it long after rain".split()) for _ in range(r.randint(a, b)))
+    paragraphs = [words(8, 40) for _ in range(r.randint(2, 7))]
+    title = words(3, 7)
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs)
+    nav = "<nav><ul>" + "".join(f"<li><a href=/{i}>{words(1, 2)}</a></li>" for i in range(r.randint(3, 9))) + "</ul></nav>"
+    side = f"<div class=sidebar><h3>{words(1, 2)}</h3><ul>" + "".join(f"<li><a href=/s{i}>{words(2, 4)}</a></li>" for i in range(r.randint(2, 6))) + "</ul></div>"
+    comments = "<div id=comments>" + "".join(f"<div class=comment><p>{words(5, 15)}</p></div>" for _ in range(r.randint(0, 3))) + "</div>"
+    notice = f"<div class='cookie-consent'>{words(6, 12)}<button>OK</button></div>"
+    form = f"<form action=/search><label>{words(1, 2)}</label><input></form>"
+    open_, close = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post'>", "</div>"), ("<div class='content no-sidebar'>", "</div>"), ("<div id=page class='has-header'><section>", "</section></div>"), ("<form id=aspnetForm><div>", "</div></form>"), ("<td>", "</td>")])
+    return f"<html><body>{notice}{nav}{form}{open_}{body}{close}{side}{comments}<footer>{words(4, 9)}</footer></body></html>", "\n".join([title, *paragraphs])
+
+
+def test_token_f1_of_labelled_pages():
+    r = random.Random(11)
+    scores = [token_f1(h.main_text(page, h.weigh({})), want) for page, want in (labelled_page(r) for _ in range(200))]
+    assert sum(scores) / len(scores) >= 0.97 and min(scores) >= 0.8
+
+
+def test_long_labelled_pages_count(spark):
+    long = "<body><div>aa</div><article>" + "<p>word word</p>" * 20_000 + "</article></body>"
+    df = spark.createDataFrame([(1, long)], "page_id long, html string")
+    assert h.label_counts(df)["w", "p", "in"] == (40_000, 0)
 
 
 def test_weights_of_labelled_pages_work_without_the_label(spark, sf):
