@@ -82,7 +82,8 @@ def format_chat(turns: DataFrame, id_col: str = "conv_id", loss_role: str = "ass
 
     ``turns`` has the id, turn, role and text; they are ordered by turn (nulls first), then role and
     text, and repeated rows are turns each. Null roles and texts are empty. Rows of a null id are a
-    conversation. ``loss_spans`` are (start, length) in code points of the texts of ``loss_role``
+    conversation. ``round_trip`` tells that all turns come back from ``formatted``, and that the spans cut
+    out the loss texts. ``loss_spans`` are (start, length) in code points of the texts of ``loss_role``
     within ``formatted``. An empty table gives no rows; other columns are not read.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -95,12 +96,15 @@ def format_chat(turns: DataFrame, id_col: str = "conv_id", loss_role: str = "ass
     order = W.partitionBy(id_col).orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumn("_at", F.coalesce(F.sum(F.length("_rendered")).over(order), F.lit(0).cast("long")))
     span = F.when(F.col("role") == loss_role, F.struct((F.col("_at") + F.length(header(F.col("_role")))).alias("start"), F.length("_text").cast("long").alias("length")))
+    # what the span cuts out of the rendered turn is, unescaped, the text
+    cut = F.substring(F.col("_rendered"), (span["start"] - F.col("_at") + 1).cast("int"), span["length"].cast("int"))
+    t = t.withColumn("_masked", F.coalesce(unescape_text(cut) == F.col("text"), F.col("role") != loss_role))
     own = F.struct("_at", "role", "text", F.col("_rendered").alias("rendered"), span.alias("span"))
-    g = t.groupBy(id_col).agg(F.sort_array(F.collect_list(own)).alias("_turns"), F.sum(F.col("_escape").cast("long")).alias("n_escaped"))
+    g = t.groupBy(id_col).agg(F.sort_array(F.collect_list(own)).alias("_turns"), F.sum(F.col("_escape").cast("long")).alias("n_escaped"), F.every("_masked").alias("_masked"))
     g = g.withColumn("formatted", F.array_join(F.transform("_turns", lambda x: x["rendered"]), ""))
     source = F.transform("_turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     spans = F.filter(F.transform("_turns", lambda x: x["span"]), lambda s: s.isNotNull())
-    same = F.coalesce(parse(F.col("formatted")) == source, F.lit(False))
+    same = F.coalesce((parse(F.col("formatted")) == source) & F.col("_masked"), F.lit(False))
     return g.select(id_col, "formatted", spans.alias("loss_spans"), "n_escaped", same.alias("round_trip"))
 
 
