@@ -19,7 +19,7 @@ from quadspark.llm.langid import dictionaries, identify, training_rows
 from quadspark.llm.linededup import dedup_lines
 from quadspark.llm.packing import pack
 from quadspark.llm.quality import judge
-from quadspark.llm.shared import reachable, save, table
+from quadspark.llm.shared import drop, reachable, save, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -94,10 +94,13 @@ ORACLE_SQL = None
 
 @reachable
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``: the last one's rows."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``: the last one's rows. A stage's table is deleted once the next one's is
+    written; the last stage's input stays, since its rows are made when they are asked for."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = save(docs, f"stage{k}")
+            drop(*before)
+            before = [docs]
     return docs
