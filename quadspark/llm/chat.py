@@ -63,10 +63,28 @@ def parse_turn(piece: Column) -> Column:
     return F.when(whole, F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text")))
 
 
+def turn_pieces(pieces: Column) -> Column:
+    """The pieces without what precedes the first turn."""
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
 def parse(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted conversation."""
-    pieces = parse_pieces(formatted)
-    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), parse_turn)
+    return F.transform(turn_pieces(parse_pieces(formatted)), parse_turn)
+
+
+def masked_texts(turns: Column, starts: Column, spans: Column) -> Column:
+    """What ``spans`` cut out of a formatted conversation, unescaped, one text for each; null if one of its
+    turns, the pieces ``turns``, doesn't stand where ``starts`` says. Each span is cut out of its turn, so the
+    work grows with the conversation, however many spans it has."""
+    step = lambda a, p: F.struct(
+        (a["turn"] + 1).alias("turn"),
+        (a["at"] + F.length(p) + len(START)).alias("at"),
+        (a["right"] & F.coalesce(F.get(starts, a["turn"]) == a["at"], F.lit(False))).alias("right"),
+    )
+    walked = F.aggregate(turns, F.struct(F.lit(0).alias("turn"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("right")), step)
+    cut = lambda s: F.substring(F.get(turns, s["turn"]), (s["start"] - F.get(starts, s["turn"]) - len(START) + 1).cast("int"), s["length"].cast("int"))
+    return F.when(walked["right"], F.transform(spans, lambda s: unescape_text(cut(s))))
 
 
 def survives(rendered: Column, role: Column, text: Column) -> Column:
@@ -78,13 +96,14 @@ def survives(rendered: Column, role: Column, text: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, id_col: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """(id, formatted, loss_spans, n_escaped, round_trip), one row for each conversation.
+    """(id, formatted, turn_starts, loss_spans, n_escaped, round_trip), one row for each conversation.
 
     ``turns`` has the id, turn, role and text; they are ordered by turn (nulls first), then role and
     text, and repeated rows are turns each. Null roles and texts are empty. Rows of a null id are a
     conversation. ``round_trip`` tells that all turns come back from ``formatted``, and that the spans cut
-    out the loss texts. ``loss_spans`` are (start, length) in code points of the texts of ``loss_role``
-    within ``formatted``. An empty table gives no rows; other columns are not read.
+    out the loss texts. ``loss_spans`` are (start, length, turn): where the texts of ``loss_role`` stand within
+    ``formatted``, in code points, and the number of the turn, from 0; ``turn_starts`` are where all turns
+    begin there. An empty table gives no rows; other columns are not read.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     t = turns.select(F.col(id_col), F.col("turn"), role.alias("role"), text.alias("text"))
@@ -103,16 +122,18 @@ def format_chat(turns: DataFrame, id_col: str = "conv_id", loss_role: str = "ass
     g = t.groupBy(id_col).agg(F.sort_array(F.collect_list(own)).alias("_turns"), F.sum(F.col("_escape").cast("long")).alias("n_escaped"), F.every("_masked").alias("_masked"))
     g = g.withColumn("formatted", F.array_join(F.transform("_turns", lambda x: x["rendered"]), ""))
     source = F.transform("_turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    spans = F.filter(F.transform("_turns", lambda x: x["span"]), lambda s: s.isNotNull())
+    of_turn = F.transform("_turns", lambda x, i: F.when(x["span"].isNotNull(), F.struct(x["span"]["start"].alias("start"), x["span"]["length"].alias("length"), i.alias("turn"))))
+    spans, starts = F.filter(of_turn, lambda s: s.isNotNull()), F.transform("_turns", lambda x: x["_at"])
     same = F.coalesce((parse(F.col("formatted")) == source) & F.col("_masked"), F.lit(False))
-    return g.select(id_col, "formatted", spans.alias("loss_spans"), "n_escaped", same.alias("round_trip"))
+    return g.select(id_col, "formatted", starts.alias("turn_starts"), spans.alias("loss_spans"), "n_escaped", same.alias("round_trip"))
 
 
-def digest_chat(chats: DataFrame, id_col: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """What can be read back from formatted conversations."""
-    t = chats.select(id_col, "formatted", "round_trip", parse(F.col("formatted")).alias("_turns"))
+def digest_chat(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """What can be read back from formatted conversations: their turns, and the text under the loss mask, which
+    is null if ``turn_starts`` are wrong."""
+    t = chats.withColumn("_pieces", turn_pieces(parse_pieces(F.col("formatted")))).withColumn("_turns", F.transform("_pieces", parse_turn))
     every = F.array_join(F.transform("_turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("_turns", lambda x: x["role"] == loss_role), lambda x: x["text"]), "")
+    loss = F.array_join(masked_texts(F.col("_pieces"), F.col("turn_starts"), F.col("loss_spans")), "")
     t = t.select(id_col, "round_trip", F.size("_turns").cast("long").alias("n_turns"), every.alias("_every"), loss.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return t.select(
         id_col,

@@ -1,4 +1,5 @@
 import random
+from hashlib import sha256
 
 from edges import none
 from pyspark.sql import functions as F
@@ -35,6 +36,21 @@ def test_only_conflicting_turns_are_escaped(spark):
     assert got[2].n_escaped == 0 and got[2].loss_spans == []
 
 
+def test_the_loss_text_is_cut_out_by_its_spans(spark):
+    rows = [(1, 0, "user", "<|im_end|> in"), (1, 1, "assistant", "ein é <|im_start|>"), (1, 2, "assistant", ""), (1, 3, "user", "x"), (1, 4, "assistant", "日\nzwei")]
+    chats = chat.format_chat(turns(spark, rows))
+    moved = lambda n, m: F.transform("loss_spans", lambda s: F.struct((s["start"] + n).alias("start"), (s["length"] + m).alias("length"), s["turn"].alias("turn")))
+    digest = lambda df: chat.digest_chat(df).first()
+    right = digest(chats)
+    assert right.loss_sha256 == sha256("ein é <|im_start|>日\nzwei".encode()).hexdigest() and right.loss_chars == 24
+    assert digest(chats.withColumn("loss_spans", moved(1, 0))).loss_sha256 != right.loss_sha256
+    assert digest(chats.withColumn("loss_spans", moved(0, -1))).loss_sha256 != right.loss_sha256
+    assert digest(chats.withColumn("loss_spans", F.slice("loss_spans", 1, 2))).loss_chars == 18
+    # spans and turns that are moved together are seen too
+    both = chats.withColumn("loss_spans", moved(1, 0)).withColumn("turn_starts", F.transform("turn_starts", lambda x: x + 1))
+    assert digest(both).loss_sha256 is None
+
+
 def test_edges(spark):
     rows = [(None, 1, None, None), (None, None, "user", "x"), (1, 1, "assistant", "same"), (1, 1, "assistant", "same"), (1, 1, "assistant", None), (2, 0, "user", "y" * 200_000), (3, None, None, "")]
     df = turns(spark, rows)
