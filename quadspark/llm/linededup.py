@@ -210,7 +210,7 @@ def without_lines(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFram
         out = done(own, F.broadcast(drops))
     elif size["docs"] <= BROADCAST_IDS:
         ids = F.broadcast(drops.select("_doc"))
-        none = ids.sparkSession.createDataFrame([], drops.schema)
+        none = drops.where(F.lit(False))
         out = done(own.join(ids, of_doc, "left_semi"), drops.hint("shuffle_hash")).unionByName(done(own.join(ids, of_doc, "left_anti"), F.broadcast(none)))
     else:
         out = done(own, drops)
