@@ -143,10 +143,9 @@ def assign_sequences(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -
     runs, _ = plan_best_fit(counts, capacity)
     most = max(counts.values(), default=0)
     buckets = max(16, -(-most // BUCKET_ROWS))
-    plan = spark.createDataFrame(
-        [(r.length, r.first, r.bins, r.each, r.base, r.offset) for r in runs],
-        "length long, _first long, _bins long, _each long, _base long, _offset long",
-    )
+    # from an Arrow table: rows of a list would pass through Python workers of their own, which stay
+    of_run = {"length": "length", **{f"_{x}": x for x in ("first", "bins", "each", "base", "offset")}}
+    plan = spark.createDataFrame(pa.table({c: pa.array([getattr(r, x) for r in runs], pa.int64()) for c, x in of_run.items()}))
     key = F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(buckets)).cast("int")
     dealt = pieces.withColumn("_bucket", key)
     sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
