@@ -17,7 +17,9 @@ Signatures are counted before they are joined, slice by slice; only those of two
 survive. Each bucket is tried as a star around one member; pairs pass an exact lower bound on their
 difference, are verified on the sets of 64-bit shingle hashes, and components are formed; only then
 are members that are still in different components compared with each other. So a group of thousands
-of near copies costs about one verification a member. A large bucket of unlike sets, which share no more
+of near copies costs about one verification a member. Sketches of fixed length say nothing of large sets, whose
+unlike pairs in common buckets grow with the square of the table: before any hashes are fetched, pairs
+pass the same bound on sketches as long as the sets are large. A large bucket of unlike sets, which share no more
 than a frequent shingle, is not compared pair by pair but joined on its rarest shingles: of n shingles so
 many stand first, in an order by frequency within the bucket, that linked sets must have one in common.
 
@@ -141,28 +143,35 @@ class Bands:
         return np.concatenate(out)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the elements in each of 64 * SKETCH cells: differing bits never outnumber
+def sketch(hashes: np.ndarray, cells: int = 64 * SKETCH) -> np.ndarray:
+    """Parities of the elements in each of so many cells, a power of two: differing bits never outnumber
     differing elements."""
-    odd = np.bincount((hashes & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((hashes & U(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def wide_sketch(hashes: np.ndarray) -> np.ndarray | None:
+    """The sketch with a cell or more for each element; none if the short one has as many."""
+    return sketch(hashes, 1 << (len(hashes) - 1).bit_length()) if len(hashes) > 64 * SKETCH else None
+
+
 def signed_sets(docs: DataFrame, width: int, percent: int, rows: int, slices: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, set_lo, the sketch, and the signatures in ``slices`` columns). The
-    ids are null for texts without words."""
+    """(doc_id, n_shingles, set_id, set_lo, the sketch, the wide sketch, and the signatures in ``slices``
+    columns). The ids are null for texts without words."""
     longs = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_id", "set_lo", *SKETCHED)]
-    out = T.StructType([docs.schema["doc_id"], *longs, *(T.StructField(f"sigs{k}", T.ArrayType(T.LongType(), False)) for k in range(slices))])
+    wide = T.StructField("wide", T.ArrayType(T.LongType(), False))
+    out = T.StructType([docs.schema["doc_id"], *longs, wide, *(T.StructField(f"sigs{k}", T.ArrayType(T.LongType(), False)) for k in range(slices))])
 
     def run(batches):
         bands = Bands(percent, rows)
         for b in sliced(batches):
-            n, ids, sketches, lists = [], [], [], [[] for _ in range(slices)]
+            n, ids, sketches, wides, lists = [], [], [], [], [[] for _ in range(slices)]
             for raw in b.column(1).to_pylist():
                 h = shingles(raw, width)
                 n.append(len(h))
                 ids.append(set_ids(h) if len(h) else (None, None))
                 sketches.append(sketch(h))
+                wides.append(wide_sketch(h))
                 sigs = bands.signatures(h)
                 part = (sigs >> U(1)) % U(slices)
                 for k in range(slices):
@@ -173,7 +182,7 @@ def signed_sets(docs: DataFrame, width: int, percent: int, rows: int, slices: in
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in x]))).astype(np.int32)
                 flat = np.concatenate(x) if x else np.zeros(0, np.int64)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)), *arrays], names=out.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)), pa.array(wides, pa.list_(pa.int64())), *arrays], names=out.names)
 
     return docs.select("doc_id", utf8("text").alias("_raw")).mapInArrow(run, out)
 
@@ -219,6 +228,31 @@ def may_link(percent: int):
     return near & (differ * (100 + percent) <= (F.col("_na") + F.col("_nb")) * (100 - percent))
 
 
+def wide_sketches(signed: DataFrame) -> DataFrame:
+    """(set_id, n, wide) of the sets that have a wide sketch."""
+    every = signed.where("set_id is not null and doc_id is not null and wide is not null")
+    return save(every.select("set_id", F.col("n_shingles").alias("n"), "wide").dropDuplicates(["set_id"]), "wide")
+
+
+def narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) without those whose wide sketches differ in more bits than linked sets can. The
+    longer sketch of a pair is folded to the cells of the other."""
+    cells = F.least(F.array_size("_wa"), F.array_size("_wb"))
+
+    def folded(x: str):
+        last = (F.array_size(x) / cells).cast("int") - 1
+        zero = F.array_repeat(F.lit(0).cast("long"), cells)
+        sums = F.aggregate(F.sequence(F.lit(0), last), zero, lambda s, i: F.zip_with(s, F.slice(x, i * cells + 1, cells), lambda p, q: p.bitwiseXOR(q)))
+        return F.when(F.array_size(x) == cells, F.col(x)).otherwise(sums)
+
+    bits = F.zip_with(folded("_wa"), folded("_wb"), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
+    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + x)
+    near = differ * (100 + percent) <= (F.col("_na") + F.col("_nb")) * (100 - percent)
+    for x in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("set_id").alias(x), F.col("n").alias(f"_n{x}"), F.col("wide").alias(f"_w{x}")), x, "left")
+    return pairs.where(F.col("_wa").isNull() | F.col("_wb").isNull() | near).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (a, b) of set ids, by their exact similarity."""
     left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("_ha"))
@@ -315,8 +349,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slice
         parts.append(save(got, "members"))
         drop(shared)
         release(spark)
-    # the signatures have done their work: only what names the rows is kept
-    ids = save(signed.select("doc_id", "n_shingles", "set_id"), "ids")
+    # the signatures have done their work: only what names the rows and the wide sketches are kept
+    ids, wide = save(signed.select("doc_id", "n_shingles", "set_id"), "ids"), wide_sketches(signed)
     drop(signed)
     members = parts[0]
     for p in parts[1:]:
@@ -324,12 +358,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slice
     tried = members.where("set_id <> rep").select(F.col("set_id").alias("a"), F.col("rep").alias("b")).distinct()
     likely = tried.join(lightly(classes, "a"), "a").join(lightly(classes, "b"), "b").where(may_link(percent)).select("a", "b")
     tried = save(likely, "pairs")
-    sets = sets_of(ends(tried), classes, docs, width, twice)
-    links = save(verified(tried, sets, percent), "links")
+    near = save(narrowed(tried, wide, percent), "near")
+    sets = sets_of(ends(near), classes, docs, width, twice)
+    links = save(verified(near, sets, percent), "links")
     labels = components(links)
-    drop(sets, links)
+    drop(near, sets, links)
     release(spark)
-    more = save(still_apart(members, labels, classes, tried, percent, lambda ids: sets_of(ids, classes, docs, width, twice)), "pairs")
+    found = save(still_apart(members, labels, classes, tried, percent, lambda ids: sets_of(ids, classes, docs, width, twice)), "pairs")
+    more = save(narrowed(found, wide, percent), "near")
     if more.limit(1).count():
         sets = sets_of(ends(more), classes, docs, width, twice)
         links = save(verified(more, sets, percent), "links")
@@ -339,7 +375,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, slice
     named = classes.select("set_id", "first_doc").join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of_set = save(named.join(smallest, "label").select("set_id", "component_id"), "components")
-    drop(*parts, classes, tried, more, labels)
+    drop(*parts, classes, wide, tried, found, more, labels)
     release(spark)
     got = ids.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
     return got.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -95,6 +95,42 @@ def test_a_large_bucket_of_unlike_sets_is_no_quadratic_work(spark):
     assert more.count() <= 1000 and links.count() == 300
 
 
+def test_unlike_large_sets_of_a_bucket_are_not_verified(spark, monkeypatch):
+    """Long texts with a passage in common share signatures; their hashes are fetched for near copies only."""
+    r = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join([passage, *(f"w{r.randrange(10**9)}" for _ in range(r.randint(1300, 2300)))]) for _ in range(60)]
+    texts += [t + " and a few words more " * k for k, t in enumerate(texts[:12])]
+    rows, asked, verified = list(enumerate(texts)), [], jc.verified
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jc, "verified", counted)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80) == brute(rows, 5, 80)
+    assert sum(asked) <= 30
+
+
+def test_wide_sketches_lose_no_link(spark):
+    """Also of sets whose sketches have different lengths; unlike sets differ."""
+    import numpy as np
+
+    r, rows, want = np.random.default_rng(5), [], {}
+    for k, (n, percent) in enumerate(((500, 80), (600, 80), (1000, 80), (1024, 80), (1100, 90), (4000, 80), (4100, 90), (3000, 30))):
+        common = (n * percent + 99) // 100
+        h = np.unique(r.integers(0, 2**63, 2 * n).astype(np.uint64))
+        for j, s in enumerate((h[:n], h[:common], h[n:])):
+            rows.append((10 * k + j, len(s), None if (w := jc.wide_sketch(np.sort(s))) is None else w.tolist()))
+        want[10 * k] = percent
+    wide = spark.createDataFrame([x for x in rows if x[2]], "set_id long, n long, wide array<long>")
+    pairs = spark.createDataFrame([(i + 1, i) for i in want] + [(i + 2, i) for i in want], "a long, b long")
+    for percent in (30, 80, 90):
+        got = {(x.a, x.b) for x in jc.narrowed(pairs, wide, percent).collect()}
+        assert got >= {(i + 1, i) for i, p in want.items() if p >= percent}
+        assert percent < 80 or {(x, i) for x, i in got if x == i + 2} == {(2, 0)}
+
+
 def test_sets_of_one_id_are_told_apart(spark):
     rows = corpus(3)[:60] + [(1000 + i, f"some text number {i} of its own") for i in range(40)]
     want = brute(rows, 3, 90)
