@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quadspark.functions.terms import DEFAULT_GRAPH
 from quadspark.operators import pattern as pt
 from quadspark.operators import store as st
-from quadspark.sources.snapshots import SCHEMA, Snapshots
+from quadspark.sources.snapshots import SCHEMA, Pattern, Snapshots
 from quadspark.txn import Mode, Promote, Txn, TxnError, Type
 
 Row = tuple[str, str, str, str]
@@ -43,7 +43,8 @@ class Dataset:
     # -- transaction
     # the changes of a transaction are those of its thread; other threads never see them
     @property
-    def _changes(self) -> list[tuple[bool, DataFrame]]:
+    def _changes(self) -> list[tuple[bool, DataFrame | Pattern]]:
+        """Quads that are added or deleted, and patterns whose quads are deleted."""
         return self._own.__dict__.setdefault("changes", [])
 
     @property
@@ -95,31 +96,44 @@ class Dataset:
         self._flush()
         since = self.txn.pinned
         if self._changes:
-            self.snapshots.commit(*self._net(since))
+            self.snapshots.commit(since=since, appended=True, **self._net(since))
             if self.snapshots.folders(since + 1) > self.compact_at:
                 self.snapshots.compact(since + 1)
         self._forget()
 
-    def _net(self, since: int) -> tuple[DataFrame | None, int, bool, DataFrame | None]:
-        """What to commit: quads that are new to the snapshot, and quads of it that go. Of several
-        changes of one quad the last holds."""
-        was = self.snapshots.read(since)
-        if all(add for add, _ in self._changes):
-            return st.additions(was, reduce(DataFrame.unionByName, [x for _, x in self._changes])), since, True, None
-        if not any(add for add, _ in self._changes):
-            gone = st.normalised(reduce(DataFrame.unionByName, [x for _, x in self._changes])).dropDuplicates(pt.POSITIONS)
-            return None, since, True, gone.join(was, pt.POSITIONS, "left_semi")
-        each = [st.normalised(x).withColumns({"_n": F.lit(n), "_add": F.lit(add)}) for n, (add, x) in enumerate(self._changes)]
-        last = reduce(DataFrame.unionByName, each).groupBy(*pt.POSITIONS).agg(F.max_by("_add", "_n").alias("_add"))
-        return last.where("_add").select(*pt.POSITIONS).join(was, pt.POSITIONS, "left_anti"), since, True, last.where("not _add").select(*pt.POSITIONS).join(was, pt.POSITIONS, "left_semi")
+    def _net(self, since: int) -> dict:
+        """What to commit: patterns whose quads go from the snapshot, quads that are new to what is left of
+        it, and quads of that which go. Of several changes of one quad the last holds."""
+        patterns = {n: x for n, (_, x) in enumerate(self._changes) if isinstance(x, dict)}
+        each = []
+        for n, (add, x) in enumerate(self._changes):
+            if n not in patterns:
+                later = [p for k, p in patterns.items() if k > n]
+                each.append((n, add, reduce(lambda q, p: st.remove_pattern(q, **p), later, st.normalised(x))))
+        net = {"quads": None, "patterns": list(patterns.values())}
+        if not each:
+            return net
+        was = reduce(lambda q, p: st.remove_pattern(q, **p), net["patterns"], self.snapshots.read(since))
+        if all(add for _, add, _ in each):
+            new = reduce(DataFrame.unionByName, [x for *_, x in each])
+            if not self.snapshots.folders(since):
+                return net | {"quads": new, "repeated": True}
+            return net | {"quads": st.additions(was, new)}
+        if not any(add for _, add, _ in each):
+            gone = reduce(DataFrame.unionByName, [x for *_, x in each]).dropDuplicates(pt.POSITIONS)
+            return net | {"deleted": gone.join(was, pt.POSITIONS, "left_semi")}
+        marked = [x.withColumns({"_n": F.lit(n), "_add": F.lit(add)}) for n, add, x in each]
+        last = reduce(DataFrame.unionByName, marked).groupBy(*pt.POSITIONS).agg(F.max_by("_add", "_n").alias("_add"))
+        added, gone = (last.where(x).select(*pt.POSITIONS) for x in ("_add", "not _add"))
+        return net | {"quads": added.join(was, pt.POSITIONS, "left_anti"), "deleted": gone.join(was, pt.POSITIONS, "left_semi")}
 
     def _seen(self) -> DataFrame:
         """The pinned snapshot with this transaction's changes in their order."""
         now = self.snapshots.read(self.txn.pinned)
         if self.txn.mode is Mode.WRITE:
             self._flush()
-            for add, rows in self._changes:
-                now = st.register(now, rows) if add else st.delete(now, rows)
+            for add, x in self._changes:
+                now = st.register(now, x) if add else st.remove_pattern(now, **x) if isinstance(x, dict) else st.delete(now, x)
         return now
 
     # -- quads
@@ -162,9 +176,11 @@ class Dataset:
             self._changes.append((False, quads))
 
     def remove(self, g=None, s=None, p=None, o=None) -> None:
-        """Delete all quads that match."""
+        """Delete all quads that match. The pattern is committed, not the quads."""
         with self.txn.within(Mode.WRITE):
-            self.delete_all(pt.find(self._seen(), g, s, p, o))
+            self._flush()
+            bound = {"g": pt.graph_name(g), "s": s, "p": p, "o": o}
+            self._changes.append((False, {c: x for c, x in bound.items() if x is not None}))
 
     def clear(self, g: str) -> None:
         self.remove(g=g)

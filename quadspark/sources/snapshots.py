@@ -2,7 +2,8 @@
 
 ``log/N`` names generation N's folders in their order: added quads, and deleted ones. A deleting folder
 takes its quads from those added before it, by an anti-join at reading, so a commit writes what it
-changes and nothing else. A commit publishes a whole file under its name or fails: a crash at any moment
+changes and nothing else. Quads deleted by a pattern are not written: the log has the pattern, and what
+was added before it is filtered at reading. A commit publishes a whole file under its name or fails: a crash at any moment
 leaves the old generation, and a writer that lost the race gets a Conflict. An entry that can't be read
 (cut by a full disk, say) counts as absent and is put aside by the next commit. ``compact`` rewrites a
 generation as one folder, ``vacuum`` removes what no kept generation names. Folders are sorted by
@@ -14,18 +15,21 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadspark.operators.pattern import POSITIONS
+from quadspark.operators.pattern import POSITIONS, condition
 
 SCHEMA = "g string, s string, p string, o string"
 
-#: A folder's kind ("add" or "del") and its path below the store.
-Entry = tuple[str, str]
+#: The terms of a pattern's bound positions.
+Pattern = dict[str, str]
+#: A folder's kind ("add" or "del") and its path below the store, or "pat" and a pattern whose quads go.
+Entry = tuple[str, str | Pattern]
 
 
 class Conflict(Exception):
@@ -118,13 +122,19 @@ class Snapshots:
         return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{p}" for p in paths])
 
     def read(self, generation: int | None = None) -> DataFrame:
-        """The quads of a generation, the newest by default: what was added after the last deletion is
-        scanned as it is, the rest anti-joined once, with the deletions that came later."""
+        """The quads of a generation, the newest by default: what was added after the last deleting folder
+        is scanned as it is, the rest anti-joined once, with the deletions that came later. Patterns are
+        filters on the scans of what was added before them."""
         folders = self._folders(self.generation() if generation is None else generation)
-        runs = [(kind, [path for _, path in own]) for kind, own in groupby(folders, key=lambda f: f[0])]
+        runs = [(kind, [what for _, what in own]) for kind, own in groupby(folders, key=lambda f: f[0])]
         last = max((n for n, (kind, _) in enumerate(runs) if kind == "del"), default=-1)
-        rows = [self._scan(paths) for n, (kind, paths) in enumerate(runs) if kind == "add" and n > last]
-        old = [self._scan(paths).withColumn("_at", F.lit(n)) for n, (kind, paths) in enumerate(runs) if kind == "add" and n < last]
+
+        def added(n: int) -> DataFrame:
+            later = [~condition(**x) for kind, own in runs[n:] if kind == "pat" for x in own]
+            return reduce(DataFrame.where, later, self._scan(runs[n][1]))
+
+        rows = [added(n) for n, (kind, _) in enumerate(runs) if kind == "add" and n > last]
+        old = [added(n).withColumn("_at", F.lit(n)) for n, (kind, _) in enumerate(runs) if kind == "add" and n < last]
         gone = [self._scan(paths).withColumn("_from", F.lit(n)) for n, (kind, paths) in enumerate(runs) if kind == "del"]
         if old:
             latest = reduce(DataFrame.unionByName, gone).groupBy(*POSITIONS).agg(F.max("_from").alias("_from"))
@@ -133,20 +143,26 @@ class Snapshots:
             rows.append(was.join(latest.alias("d"), same & (F.col("d._from") > F.col("a._at")), "left_anti").select(*POSITIONS))
         return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], SCHEMA)
 
-    def _write(self, quads: DataFrame) -> str:
+    def _write(self, quads: DataFrame, repeated: bool = False) -> str:
         name = f"data/{uuid.uuid4().hex}"
         # the number of parts is left to the planner, so that small changes make few files
-        quads.select(*POSITIONS).repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o").write.parquet(f"{self.path}/{name}")
+        parts = quads.select(*POSITIONS).repartitionByRange("p", "s")
+        if repeated:  # equal quads are in one part, so they are found without another shuffle
+            parts = parts.dropDuplicates(POSITIONS)
+        parts.sortWithinPartitions("p", "s", "o").write.parquet(f"{self.path}/{name}")
         return name
 
-    def commit(self, quads: DataFrame | None, since: int, appended: bool = False, deleted: DataFrame | None = None) -> int:
+    def commit(self, quads: DataFrame | None, since: int, appended: bool = False, deleted: DataFrame | None = None, patterns: Iterable[Pattern] = (), repeated: bool = False) -> int:
         """Publish the generation after ``since``: ``quads`` in its place, or ``appended`` to it, which
-        it must not hold, after those of ``deleted`` are gone from it."""
+        it must not hold, after those of ``patterns`` and ``deleted`` are gone from it. Quads that may be
+        ``repeated`` are written once."""
         folders = list(self._folders(since)) if appended else []
+        if folders:
+            folders += [("pat", x) for x in patterns]
         if deleted is not None and folders:
             folders.append(("del", self._write(deleted)))
         if quads is not None:
-            folders.append(("add", self._write(quads)))
+            folders.append(("add", self._write(quads, repeated)))
         self._publish(since + 1, folders)
         return since + 1
 
@@ -168,7 +184,7 @@ class Snapshots:
         are older than so many seconds, which no writer can be about to commit; how many folders went.
         Readers of removed generations fail."""
         readable = [n for n in self._log() if self._folders(n, None) is not None]
-        named = {path for n in readable[: max(1, keep)] for _, path in self._folders(n)}
+        named = {path for n in readable[: max(1, keep)] for kind, path in self._folders(n) if kind != "pat"}
         for n in readable[max(1, keep) :]:
             self._fs.delete(self._path(f"{self.path}/log/{n}"), False)
             self._known.pop(n, None)

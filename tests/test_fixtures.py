@@ -350,6 +350,45 @@ def test_deleting_writes_what_is_deleted(spark, tmp_path):
     assert d.snapshots.folders() == 1 and d.size() == 1998
 
 
+def test_deleting_by_a_pattern_writes_no_quads(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path / "pat"))
+    quads = spark.range(100).select(F.format_string("<g%d>", F.col("id") % 2).alias("g"), F.format_string("<s%d>", "id").alias("s"), F.lit("<p>").alias("p"), F.lit("<o>").alias("o"))
+    d.add_all(quads.unionByName(quads))
+    d.clear("<g1>")
+    d.remove(s="<s4>", p="<p>")
+    assert [k for k, _ in d.snapshots._folders(3)] == ["add", "pat", "pat"] and len(list((tmp_path / "pat/data").iterdir())) == 1
+    assert d.size() == d.quads().distinct().count() == 49 and d.snapshots.size(2) == 50 and not d.contains(s="<s4>")
+    plan = d.quads()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Not(EqualTo(g,<g1>))" in plan
+    d.delete("<g0>", "<s6>", "<p>", "<o>")
+    d.add("<g1>", "<s1>", "<p>", "<o>")  # again after its pattern
+    again = Dataset(spark, str(tmp_path / "pat"))
+    assert again.size() == 49 and again.contains(s="<s1>") and not again.contains(s="<s6>")
+    again.compact()
+    again.vacuum(older_than=0)
+    assert again.snapshots.folders() == 1 and again.size() == 49
+
+
+def test_patterns_among_other_changes_hold_in_their_order(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path / "order"))
+    d.add_all(spark.createDataFrame([(None, "<a>", "<p>", "<o>"), ("<g>", "<b>", "<p>", "<o>"), ("<g>", "<c>", "<q>", "<o>")], SCHEMA))
+    for deleting in (False, True):
+        d.begin(Type.WRITE)
+        d.add_all(spark.createDataFrame([("<g>", "<early>", "<p>", "<o>"), (None, "<kept>", "<q>", "<o>")], SCHEMA))
+        d.remove(p="<p>")
+        d.add("<g>", "<b>", "<p>", "<o>")
+        d.add(None, "<a>", "<r>", "<o>")
+        if deleting:
+            d.delete("<g>", "<b>", "<p>", "<o>")
+            d.delete("<g>", "<c>", "<q>", "<o>")
+        d.remove(s="<a>")
+        d.add(None, "<late>", "<r>", "<o>")
+        seen = rows(d.quads())
+        d.commit()
+        left = [] if deleting else [("<g>", "<b>", "<p>", "<o>"), ("<g>", "<c>", "<q>", "<o>")]
+        assert seen == rows(d.quads()) == sorted([*left, (t.DEFAULT_GRAPH, "<kept>", "<q>", "<o>"), (t.DEFAULT_GRAPH, "<late>", "<r>", "<o>")])
+
+
 def test_whole_graphs(spark, tmp_path):
     d = Dataset(spark, str(tmp_path / "graphs"))
     triples = spark.createDataFrame([("<a>", "<b>", "<c>"), ("<a>", "<b>", "<d>")], "s string, p string, o string")
