@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +51,27 @@ def by_id(dictionary: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def few_keys(rows: DataFrame, columns: list[str], dictionary: DataFrame, key: str) -> DataFrame:
-    """The part of the dictionary that these columns name, to be broadcast if it has at most FEW rows."""
-    named = reduce(DataFrame.unionByName, [rows.select(F.col(c).alias(key)).distinct() for c in columns]).distinct()
-    part = stored(dictionary.join(named, key, "left_semi").select("term", "term_id"))
-    return F.broadcast(part) if part.count() <= FEW else part
+    """The part of the dictionary that these columns name, to be broadcast if they name at most FEW; then
+    the dictionary is not shuffled to find it."""
+    named = stored(rows.select(F.explode(F.array(*columns)).alias(key)).distinct())
+    own = F.broadcast if named.count() <= FEW else lambda df: df
+    return own(stored(dictionary.join(own(named), key, "left_semi").select("term", "term_id")))
 
 
 def translated(rows: DataFrame, dictionary: DataFrame, pairs: list[tuple[str, str]], key: str, value: str) -> DataFrame:
     """``rows`` with a new column for each old one, looked up. Graphs and predicates are few but each is
-    in very many rows: their part of the dictionary goes to the rows. Subjects and objects are shuffled,
-    where adaptive execution splits what a frequent term makes too large."""
+    in very many rows: their part of the dictionary goes to the rows, before the shuffles where it makes
+    these narrower, behind them where they would carry its terms. Subjects and objects are shuffled,
+    where adaptive execution splits what a frequent term makes too large; terms are sorted by a hash,
+    since comparing texts of equal beginnings takes far longer."""
     small = [old for old, _ in pairs if old[0] in "gp"]
     few = few_keys(rows, small, dictionary, key) if small else None
-    for old, new in pairs:
-        by = few if old in small else dictionary
-        rows = rows.join(by.select(F.col(key).alias(old), F.col(value).alias(new)), old)
+    for old, new in sorted(pairs, key=lambda x: (x[0] in small) != (key == "term")):
+        by, on = (few if old in small else dictionary).select(F.col(key).alias(old), F.col(value).alias(new)), [old]
+        if key == "term" and old not in small:
+            rows, by = (x.withColumn("_hash", F.xxhash64(old)) for x in (rows, by))
+            on = ["_hash", old]
+        rows = rows.join(by, on).drop("_hash")
     return rows
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,20 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows, partition by partition as they are now, written below spark.checkpoint.dir."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table below spark.checkpoint.dir, of which later reads take the columns that
+    they need. Its partitions are not those of ``df``."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that written() made and that nothing reads any more."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,7 +14,7 @@ from quadspark.operators import index as ix
 from quadspark.operators import pattern as pt
 from quadspark.operators import store as st
 from quadspark.plans import bgp
-from quadspark.plans.numbering import numbered
+from quadspark.plans.numbering import numbered, packed
 from quadspark.sources import nquads as nq
 from quadspark.sources.snapshots import SCHEMA, Conflict, Snapshots
 from quadspark.streaming.ingest import register_stream
@@ -450,6 +450,19 @@ def test_dictionary_never_reuses_ids(spark):
     assert numbered(terms(), ["term"]).count() == 0
 
 
+def test_packed_sort_keys_keep_the_order(spark):
+    big = 2**40
+    given = [(a, b, c) for a in (0, 1, big) for b in (0, 3, 2**20) for c in (7, 2, big)]
+    for more, keys in (([], 2), ([(2**62, 2, 2)], 3), ([(-1, 2, 2)], 3), ([(None, 2, 2)], 3)):
+        want = sorted([*given, *more], key=lambda x: (x[0] is not None, x))
+        df = spark.createDataFrame(want[::-1], "a long, b long, c long").repartition(3)
+        assert len(packed(df, ["a", "b", "c"])) == keys
+        assert [tuple(r)[:3] for r in numbered(df, ["a", "b", "c"]).orderBy("id").collect()] == want
+    zeros = spark.createDataFrame([(0, 0, "x")] * 3, "a int, b int, c string")
+    assert len(packed(zeros, ["a", "b", "c"])) == 2 and [r.id for r in numbered(zeros, ["a", "b", "c"]).orderBy("id").collect()] == [0, 1, 2]
+    assert packed(zeros, ["c", "a"]) == ["c", "a"] and packed(zeros.limit(0), ["a", "b"]) == ["a", "b"]
+
+
 def test_nquads(spark, tmp_path):
     texts = ['plain', 'quote " and \\ back', "line\nbreak\r", 'tricky" .', "é日本", "", '"', "\\"]
     q = spark.createDataFrame([("<g>", f"<s{i}>", "<p>", x) for i, x in enumerate(texts)], "g string, s string, p string, x string")
